@@ -1,0 +1 @@
+"""Intentionally empty: the engine's inputs are whole files and its steps are batch rounds."""
