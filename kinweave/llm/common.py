@@ -33,3 +33,14 @@ def ship(module: str) -> None:
 
 
 ship(__name__)
+
+
+def batched(column, rows: int = 256):
+    """The Python values of an Arrow column, a few rows at a time: long texts never pile up."""
+    for at in range(0, len(column), rows):
+        yield from column.slice(at, rows).to_pylist()
+
+
+def ddl(df: DataFrame) -> str:
+    """The schema of a frame as text for mapInArrow."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
