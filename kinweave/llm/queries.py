@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from kinweave.llm import quality, sharding, toxicity, urls
+from kinweave.llm import contamination, linededup, packing, quality, sharding, simhash, toxicity, urls
 
 QUERIES = {
+    "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_line_dedup": linededup.op5_line_dedup,
+    "op6_benchmark_decontamination": contamination.op6_benchmark_decontamination,
     "op7_url_filters": urls.op7_url_filters,
+    "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_sharding": sharding.op9_sharding,
 }
 
