@@ -21,6 +21,7 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -93,23 +94,33 @@ class ContainmentIndex:
         return [(at, self.sizes[at], n) for at, n in sorted(shared.items()) if n >= self.least * self.sizes[at] - 1e-9]
 
 
+class _WordNumbers:
+    """Numbers of a text's words in an index; 0 is an unknown word."""
+
+    def __init__(self, index: ContainmentIndex) -> None:
+        self.ids, self.cache = index.ids, {}
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        cache, out = self.cache, []
+        for w in (text or "").lower().split():
+            n = cache.get(w)
+            if n is None:
+                if len(cache) > CACHE_WORDS:
+                    cache.clear()
+                p = _DROP.sub("", w)
+                n = cache[w] = self.ids.get(p, 0) if p else -1
+            out.append(n)
+        ids = np.array(out, dtype=np.int64)
+        return ids[ids >= 0]
+
+
 def _prober(index: ContainmentIndex, keys: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, int] = {}
+        words = _WordNumbers(index)
         for b in batches:
             rows, hits = [], []
             for i, text in enumerate(batched(b.column(keys))):
-                ids = []
-                for w in (text or "").lower().split():
-                    n = cache.get(w)
-                    if n is None:
-                        if len(cache) > CACHE_WORDS:
-                            cache.clear()
-                        p = _DROP.sub("", w)
-                        n = cache[w] = index.ids.get(p, 0) if p else -1
-                    ids.append(n)
-                ids = np.array(ids, dtype=np.int64)
-                for hit in index.find(ids[ids >= 0]):
+                for hit in index.find(words(text)):
                     rows.append(i)
                     hits.append(hit)
             pick = pa.array(rows, pa.int64())
@@ -120,6 +131,15 @@ def _prober(index: ContainmentIndex, keys: int):
     return run
 
 
+def _blocks(items: DataFrame, shingle: int, least: float, block_items: int) -> Iterator[ContainmentIndex]:
+    """Indexes over all items, each of about ``block_items``: a bounded part of them is ever on the driver."""
+    items = items.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    blocks = max(1, -(-items.count() // block_items))
+    for k in range(blocks):
+        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+        yield ContainmentIndex([(r["item_id"], r["text"]) for r in block.collect()], shingle, least)
+
+
 def contained_items(docs: DataFrame, items: DataFrame, keys: list[str], shingle: int = SHINGLE, least: float = CONTAINMENT, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """One row for each document and item that it contains: ``keys``, item, shingle counts, ``containment``.
 
@@ -127,16 +147,26 @@ def contained_items(docs: DataFrame, items: DataFrame, keys: list[str], shingle:
     """
     rows = docs.select(*keys, "text")
     schema = ddl(docs.select(*keys)) + ", item_id long, item_shingles long, shared_shingles long"
-    items = items.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    blocks = max(1, -(-items.count() // block_items))
-    out = None
-    for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        index = ContainmentIndex([(r["item_id"], r["text"]) for r in block.collect()], shingle, least)
-        part = rows.mapInArrow(_prober(index, len(keys)), schema)
-        out = part if out is None else out.unionAll(part)
-    return out.withColumn("containment", F.col("shared_shingles") / F.col("item_shingles"))
+    parts = [rows.mapInArrow(_prober(index, len(keys)), schema) for index in _blocks(items, shingle, least, block_items)]
+    return reduce(DataFrame.unionAll, parts).withColumn("containment", F.col("shared_shingles") / F.col("item_shingles"))
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+
+
+def _rejector(index: ContainmentIndex, text_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _WordNumbers(index)
+        for b in batches:
+            clean = [not index.find(words(text)) for text in batched(b.column(text_at))]
+            yield b.filter(pa.array(clean, pa.bool_()))
+
+    return run
+
+
+def without_items(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, least: float = CONTAINMENT, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """The rows of ``docs`` that contain no item, with all their columns."""
+    for index in _blocks(items, shingle, least, block_items):
+        docs = docs.mapInArrow(_rejector(index, docs.columns.index("text")), docs.schema)
+    return docs

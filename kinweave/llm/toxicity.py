@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import ship, table
+from kinweave.llm.common import batched, ddl, ship, table
 from kinweave.scratch import materialize
 
 ship(__name__)
@@ -156,35 +156,54 @@ def _only(buckets: np.ndarray):
     return run
 
 
-def _scorer(fm: FactorizationMachine, names: list[str], text_at: int):
-    place = {int(b): i for i, b in enumerate(fm.buckets)}
+class _Scorer:
+    """Scores of texts; words met before are not hashed again."""
 
+    def __init__(self, fm: FactorizationMachine) -> None:
+        self.fm, self.place, self.cache = fm, {int(b): i for i, b in enumerate(fm.buckets)}, {}
+
+    def __call__(self, column) -> np.ndarray:
+        rows, cache, place = [], self.cache, self.place
+        for x in batched(column):
+            found: set[int] = set()
+            for w in set((x or "").lower().split()):
+                got = cache.get(w)
+                if got is None:
+                    if len(cache) > 300_000:
+                        cache.clear()
+                    got = cache[w] = tuple(place[t] for t in terms_of(w) if t in place)
+                if got:
+                    found.update(got)
+            rows.append(np.array(sorted(found), dtype=np.int64))
+        return 1 / (1 + np.exp(-np.clip(self.fm.logits(rows), -35, 35))) if rows else np.zeros(0)
+
+
+def _score_batches(fm: FactorizationMachine, keys: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, tuple[int, ...]] = {}
+        scorer = _Scorer(fm)
         for b in batches:
-            rows = []
-            for x in b.column(text_at).to_pylist():
-                found: set[int] = set()
-                for w in set((x or "").lower().split()):
-                    got = cache.get(w)
-                    if got is None:
-                        if len(cache) > 300_000:
-                            cache.clear()
-                        got = cache[w] = tuple(place[t] for t in terms_of(w) if t in place)
-                    if got:
-                        found.update(got)
-                rows.append(np.array(sorted(found), dtype=np.int64))
-            score = 1 / (1 + np.exp(-np.clip(fm.logits(rows), -35, 35)))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns) if names[i] != "text" or i != text_at), pa.array(score)], [*(n for i, n in enumerate(names) if i != text_at), "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:keys], pa.array(scorer(b.column(keys)))], [*b.schema.names[:keys], "score"])
+
+    return run
+
+
+def _keep_batches(fm: FactorizationMachine, text_at: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _Scorer(fm)
+        for b in batches:
+            yield b.filter(pa.array(scorer(b.column(text_at)) < least))
 
     return run
 
 
 def score(docs: DataFrame, fm: FactorizationMachine, keys: list[str]) -> DataFrame:
     """``keys`` and ``score`` of every row of ``docs``; the text goes no further."""
-    rows = docs.select(*keys, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(_scorer(fm, rows.columns, len(keys)), f"{schema}, score double")
+    return docs.select(*keys, "text").mapInArrow(_score_batches(fm, len(keys)), ddl(docs.select(*keys)) + ", score double")
+
+
+def reject(docs: DataFrame, fm: FactorizationMachine, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score less than ``least``, with all their columns."""
+    return docs.mapInArrow(_keep_batches(fm, docs.columns.index("text"), least), docs.schema)
 
 
 def held_out(doc_id: Column) -> Column:
