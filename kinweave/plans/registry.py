@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from kinweave.plans import groups
+
+_PLANS = [groups]
+
+QUERIES = {k: v for p in _PLANS for k, v in p.QUERIES.items()}
+ORACLE_SQL = {k: v for p in _PLANS for k, v in p.ORACLE_SQL.items()}
