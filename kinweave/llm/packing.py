@@ -17,6 +17,7 @@ alone; repeated rows are packed as often as they occur.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -26,6 +27,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,50 +36,113 @@ from kinweave.scratch import materialize
 
 ship(__name__)
 
-SEQUENCE, END_ID, GROUP_PIECES, CACHE_WORDS = 2048, 0, 16_384, 250_000
-#: Texts of these characters alone are tokenized word by word: here the tokenizer's
+SEQUENCE, END_ID, GROUP_PIECES, CACHE_WORDS, CHUNK_CHARS = 2048, 0, 16_384, 300_000, 6_000_000
+#: Texts without these are tokenized word by word: for all other characters the tokenizer's
 #: normal form is lower case, and no token crosses white space.
-_PLAIN = re.compile(r"[\t-\r\x20-\x7e¡-ɏ]*")
+_SPECIAL = re.compile(r"[^\t-\r\x20-\x7e¡-ɏ]|<\|")
 
+#: How the packing query's tokenizer cuts lower-case text into parts.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-class WordCachedTokenizer:
-    """Token ids of whole texts; words met before are not encoded again.
 
-    The result is that of ``Tokenizer.encode(text, add_special_tokens=False)``.
-    Only for tokenizers whose tokens never cross white space and that lower-case.
+def _bytes_of_letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+def _merger(model: dict, suffix: str, mark: str):
+    """The vocabulary as a rank table for tiktoken, which merges words some times faster; None if it isn't one.
+
+    A byte that no plain text has marks the end of a part, in place of the
+    suffix; ids must follow the order of the merges.
     """
+    import tiktoken
+
+    vocab, letters, ranks = model["vocab"], _bytes_of_letters(), {}
+    first = len(vocab) - len(model["merges"])
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    if model.get("type") != "BPE" or model.get("end_of_word_suffix") != suffix or any(vocab.get("".join(m)) != first + k for k, m in enumerate(pairs)):
+        return None
+    for token, i in vocab.items():
+        core = token.removesuffix(suffix) if token != suffix else token
+        if not all(c in letters for c in core):
+            return None
+        ranks[bytes(letters[c] for c in core) + mark.encode() * (core != token)] = i
+    return tiktoken.Encoding("words", pat_str=f"[^{mark}]+{mark}", mergeable_ranks=ranks, special_tokens={}) if len(ranks) == len(vocab) else None
 
-    def __init__(self, path: str, word_by_word: bool = True) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
 
-        self.whole, self.word_by_word, self.cache = Tokenizer.from_file(path), word_by_word, {}
+class WordCachedTokenizer:
+    """Token ids of whole texts; a word is encoded once for many texts.
 
-    def ids(self, text: str) -> array:
-        if not self.word_by_word or "<|" in text or not _PLAIN.fullmatch(text):
-            return array("I", self.whole.encode(text, add_special_tokens=False).ids)
-        cache = self.cache
-        ws = text.lower().split()
-        new = [w for w in set(ws) if w not in cache]
-        if new:
-            if len(cache) + len(new) > CACHE_WORDS:
-                cache.clear()
-                new = list(set(ws))
-            for w, e in zip(new, self.whole.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                cache[w] = tuple(e.ids)
-        return array("I", chain.from_iterable(map(cache.__getitem__, ws)))
+    The ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``.
+    Word by word only for tokenizers that lower-case, whose tokens never cross
+    white space and whose last token of each split part ends in ``suffix``.
+    """
 
+    MARK = "\x00"
 
-def _pieces_of(path: str, keys: int, sequence: int, end_id: int, word_by_word: bool):
+    def __init__(self, path: str, split: str | None, suffix: str = "</w>") -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        special = {t["content"] for t in spec.get("added_tokens", [])}
+        model = spec["model"] | {"vocab": {t: i for t, i in spec["model"]["vocab"].items() if t not in special}} if split else {}
+        self.whole, self.cache = Tokenizer.from_file(path), {}
+        self.merger = _merger(model, suffix, self.MARK) if split else None
+        if self.merger:
+            self.parts = regex.compile(split)
+            self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+            self.ends[[i for t, i in model["vocab"].items() if t.endswith(suffix)]] = True
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode words as one text and cut its ids where each word's parts end."""
+        parts = [[w] if w.isalpha() else self.parts.findall(w) for w in words]
+        text = self.MARK.join(chain.from_iterable(parts)) + self.MARK
+        ids = np.array(self.merger.encode_ordinary(text), dtype="<u4") if words else np.zeros(0, "<u4")
+        ends = np.concatenate(([0], np.flatnonzero(self.ends[ids]) + 1))
+        stops = ends[np.cumsum([len(p) for p in parts], dtype=np.int64)] * 4
+        raw, start = ids.tobytes(), 0
+        for w, stop in zip(words, stops.tolist()):
+            self.cache[w] = raw[start:stop]
+            start = stop
+
+    def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text; together the texts should be of bounded size."""
+        plain = [t.lower().split() if self.merger and not _SPECIAL.search(t) else None for t in texts]
+        met = set(chain.from_iterable(ws for ws in plain if ws))
+        if len(self.cache) + len(met) > CACHE_WORDS:
+            self.cache = {w: x for w in met if (x := self.cache.get(w)) is not None}
+        self._learn([w for w in met if w not in self.cache])
+        for text, ws in zip(texts, plain):
+            yield np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4") if ws is None else np.frombuffer(b"".join(map(self.cache.__getitem__, ws)), "<u4")
+
+
+def _chunks(column, chars: int = CHUNK_CHARS) -> Iterator[list[str]]:
+    held, size = [], 0
+    for text in batched(column):
+        held.append(text or "")
+        size += len(held[-1])
+        if size > chars:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _pieces_of(path: str, keys: int, sequence: int, end_id: int, split: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = WordCachedTokenizer(path, word_by_word)
+        tok = WordCachedTokenizer(path, split)
         for b in batches:
             row, piece, start, length, crc = (array("q") for _ in range(5))
-            for i, text in enumerate(batched(b.column(keys))):
-                ids = np.append(np.frombuffer(tok.ids(text or ""), np.uint32), np.uint32(end_id)).astype("<u4")
+            for i, found in enumerate(ids for texts in _chunks(b.column(keys)) for ids in tok.ids(texts)):
+                ids = np.append(found, np.array([end_id], "<u4"))
                 for k, at in enumerate(range(0, len(ids), sequence)):
                     part = ids[at : at + sequence]
-                    for a, x in ((row, i), (piece, k), (start, at), (length, len(part)), (crc, zlib.crc32(part.tobytes()))):
+                    for a, x in ((row, i), (piece, k), (start, at), (length, len(part)), (crc, zlib.crc32(part))):
                         a.append(x)
             as_array = lambda a: pa.array(np.frombuffer(a, np.int64) if len(a) else np.zeros(0, np.int64))
             at = as_array(row)
@@ -89,11 +154,15 @@ def _pieces_of(path: str, keys: int, sequence: int, end_id: int, word_by_word: b
     return run
 
 
-def token_pieces(docs: DataFrame, keys: list[str], tokenizer: str, sequence: int = SEQUENCE, end_id: int = END_ID, word_by_word: bool = True) -> DataFrame:
-    """``keys, piece, start, length, ids_crc32`` of every piece of every document's ids and end token."""
+def token_pieces(docs: DataFrame, keys: list[str], tokenizer: str, sequence: int = SEQUENCE, end_id: int = END_ID, split: str | None = SPLIT) -> DataFrame:
+    """``keys, piece, start, length, ids_crc32`` of every piece of every document's ids and end token.
+
+    ``split`` is the pattern by which the tokenizer cuts a word into parts; None
+    encodes every text as a whole, whatever the tokenizer.
+    """
     rows = docs.select(*keys, F.col("text").cast("string"))
     schema = ddl(docs.select(*keys)) + ", piece int, start long, length long, ids_crc32 long"
-    return rows.mapInArrow(_pieces_of(tokenizer, len(keys), sequence, end_id, word_by_word), schema)
+    return rows.mapInArrow(_pieces_of(tokenizer, len(keys), sequence, end_id, split), schema)
 
 
 def pack(lengths: np.ndarray, capacity: tuple[float, float, float], weights: tuple[float, float, float] = (1.0, 0.1, 0.3), rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:
