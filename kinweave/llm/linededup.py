@@ -30,13 +30,16 @@ from kinweave.scratch import materialize
 
 MIN_DOCS, DEPTH, CONSTANT, SIMILARITY, PASSAGE_TOKENS, APART = 3, 4, 0.7, 0.6, 8, 0.3
 _LAST = (1 << 63) - 1
+#: Templates (one number each) that are broadcast at most; 16 MB of them.
+BROADCAST_ROWS = 1_000_000
 
 
 def templates(text: Column) -> Column:
     """The lines of a text with digit-bearing tokens masked and white space even; blank lines are empty."""
-    even = F.regexp_replace(F.translate(text, "\t\x0b\x0c\r", "    "), "  +", " ")
-    masked = F.when(even.rlike("[0-9]"), F.regexp_replace(even, r"[^\s0-9]*+[0-9]\S*", "<*>")).otherwise(even)
-    return F.transform(F.split(masked, "\n"), lambda x: F.trim(x))
+    odd = text.contains("\t") | text.contains("  ") | text.contains("\r") | text.contains("\x0b") | text.contains("\x0c")
+    even = F.when(odd, F.regexp_replace(F.translate(text, "\t\x0b\x0c\r", "    "), "  +", " ")).otherwise(text)
+    mask = lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, r"[^\s0-9]*+[0-9]\S*", "<*>")).otherwise(x)
+    return F.transform(F.split(let(even, mask), "\n"), lambda x: F.trim(x))
 
 
 def _sketch(text: Column) -> Column:
@@ -68,8 +71,12 @@ def _generalised(docs: DataFrame, lines: DataFrame, dropped: DataFrame, depth: i
     rest = lines.join(dropped.where("first is null").select("t"), "t", "left_anti")
     wide = _met(rest, "leaf").where((F.col("families") >= min_docs) & (F.col("families") >= apart * F.col("docs"))).select("leaf")
     kinds = rest.where("n > 1").join(wide, "leaf").select("t", "leaf", "n").distinct()
+    kinds = materialize(kinds, "leaf-kinds")
+    # Line texts are wide: they are picked before they are shuffled wherever the wanted templates are few.
+    wanted = kinds.select("t")
+    wanted = F.broadcast(wanted) if kinds.count() <= BROADCAST_ROWS else wanted
     text = docs.select(F.explode(F.array_distinct(templates(F.col("text")))).alias("line")).where("line <> ''")
-    text = text.withColumn("t", F.xxhash64("line")).groupBy("t").agg(F.first("line").alias("line"))
+    text = text.withColumn("t", F.xxhash64("line")).join(wanted, "t", "left_semi").groupBy("t").agg(F.first("line").alias("line"))
     own = materialize(kinds.join(text, "t"), "leaf-lines")
     tokens = own.select("leaf", "t", F.posexplode(F.split("line", " ")).alias("pos", "token"))
     counts = tokens.groupBy("leaf", "pos", "token").count()
@@ -91,8 +98,10 @@ def drop_recurring_lines(docs: DataFrame, doc_id: str = "doc_id", min_docs: int
     own = [c for c in docs.columns if c != "lines_dropped"]
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST))
     slim = docs.where("text <> ''").select(key.alias("key"), "text")
-    parts = F.explode(F.array_distinct(F.transform(F.filter(templates(F.col("text")), lambda x: x != ""), lambda x: _line(x, depth))))
-    lines = materialize(slim.select("key", _sketch(F.col("text")).alias("sketch"), parts.alias("l")).select("key", "sketch", "l.*"), "lines")
+    parts = F.transform(F.array_distinct(F.filter(templates(F.col("text")), lambda x: x != "")), lambda x: _line(x, depth))
+    # The sketch stands below the explode, or it would be computed for every line.
+    each = slim.select("key", _sketch(F.col("text")).alias("sketch"), parts.alias("parts")).select("key", "sketch", F.explode("parts").alias("l"))
+    lines = materialize(each.select("key", "sketch", "l.*"), "lines")
     exact = materialize(recurring(lines, min_docs, passage_tokens, apart, "t", "n").select("t", "first"), "exact-templates")
     wider = _generalised(slim, lines, exact, depth, min_docs, constant, similarity, apart)
     drops = materialize(exact.unionAll(wider).groupBy("t").agg(F.min(F.coalesce("first", F.lit(-_LAST - 1))).alias("first")), "templates")
@@ -100,8 +109,9 @@ def drop_recurring_lines(docs: DataFrame, doc_id: str = "doc_id", min_docs: int
 
     def cut(gone: Column) -> Column:
         raw = F.split(F.col("text"), "\n")
-        keep = lambda ts: F.filter(raw, lambda x, i: ~F.array_contains(gone, F.xxhash64(F.get(ts, i))))
-        return let(templates(F.col("text")), lambda ts: F.struct(F.array_join(keep(ts), "\n").alias("text"), (F.size(raw) - F.size(keep(ts))).alias("n")))
+        left = lambda ts: F.filter(raw, lambda x, i: ~F.array_contains(gone, F.xxhash64(F.get(ts, i))))
+        both = lambda kept: F.struct(F.array_join(kept, "\n").alias("text"), (F.size(raw) - F.size(kept)).alias("n"))
+        return let(templates(F.col("text")), lambda ts: let(left(ts), both))
 
     named = docs.select(*own).withColumn("_key", key)
     joined = named.join(hit.withColumnRenamed("key", "_key"), "_key", "left").withColumn("_cut", F.when(F.col("_gone").isNotNull() & (F.col("text") != ""), cut(F.col("_gone"))))
