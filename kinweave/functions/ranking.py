@@ -27,3 +27,17 @@ def rank_descending(rows: DataFrame, value: str, bucket: str, key: str, name: st
 def dense_ids(values: DataFrame, column: str, name: str) -> DataFrame:
     """0-based dense ids of distinct values in their order."""
     return values.select(column).distinct().withColumn(name, (F.row_number().over(Window.orderBy(column)) - 1).cast("long"))
+
+
+def rank_within(rows: DataFrame, group: list[str], order: str, key: str, name: str = "rank", buckets: int = 64) -> DataFrame:
+    """1-based position in the group by ``order``, a number in [0, 1), then ``key``.
+
+    A group is cut into equal ranges of ``order``, so that a large one is
+    ranked by many tasks; earlier ranges are counted.
+    """
+    rows = rows.withColumn("_b", F.floor(F.col(order) * buckets).cast("int"))
+    counts = rows.groupBy(*group, "_b").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(*group, "_b", F.coalesce(before, F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy(*group, "_b").orderBy(order, key))
+    return rows.withColumn("_rn", place).join(starts, [*group, "_b"]).withColumn(name, F.col("_start") + F.col("_rn")).drop("_b", "_rn", "_start")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kinweave.plans import groups
+from kinweave.plans import graph, groups
 
-_PLANS = [groups]
+_PLANS = [groups, graph]
 
 QUERIES = {k: v for p in _PLANS for k, v in p.QUERIES.items()}
 ORACLE_SQL = {k: v for p in _PLANS for k, v in p.ORACLE_SQL.items()}
