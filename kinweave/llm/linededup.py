@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import let, table, words
+from kinweave.llm.common import let, table
 from kinweave.scratch import materialize
 
 MIN_DOCS, DEPTH, CONSTANT, SIMILARITY, PASSAGE_TOKENS, APART = 3, 4, 0.7, 0.6, 8, 0.3
@@ -34,21 +34,29 @@ _LAST = (1 << 63) - 1
 BROADCAST_ROWS = 1_000_000
 
 
+def _even(text: Column) -> Column:
+    """The text with single blanks for other white space but line breaks."""
+    odd = text.contains("\t") | text.contains("  ") | text.contains("\r") | text.contains("\x0b") | text.contains("\x0c")
+    return F.when(odd, F.regexp_replace(text, r"[ \t\x0b\x0c\r]+", " ")).otherwise(text)
+
+
+def _templates(even: Column) -> Column:
+    masked = F.when(even.rlike("[0-9]"), F.regexp_replace(even, r"[^\s0-9]*+[0-9]\S*", "<*>")).otherwise(even)
+    return F.transform(F.split(masked, "\n"), lambda x: F.trim(x))
+
+
 def templates(text: Column) -> Column:
     """The lines of a text with digit-bearing tokens masked and white space even; blank lines are empty."""
-    odd = text.contains("\t") | text.contains("  ") | text.contains("\r") | text.contains("\x0b") | text.contains("\x0c")
-    even = F.when(odd, F.regexp_replace(F.translate(text, "\t\x0b\x0c\r", "    "), "  +", " ")).otherwise(text)
-    mask = lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, r"[^\s0-9]*+[0-9]\S*", "<*>")).otherwise(x)
-    return F.transform(F.split(let(even, mask), "\n"), lambda x: F.trim(x))
+    return let(_even(text), _templates)
 
 
-def _sketch(text: Column) -> Column:
-    long = F.filter(words(text), lambda w: F.length(w) >= 9)
-    return F.coalesce(F.array_min(F.transform(long, lambda w: F.xxhash64(w))), F.xxhash64(text))
+def _sketch(even: Column) -> Column:
+    long = F.filter(F.split(F.replace(even, F.lit("\n"), F.lit(" ")), " "), lambda w: F.length(w) >= 9)
+    return F.coalesce(F.array_min(F.transform(long, lambda w: F.xxhash64(w))), F.xxhash64(even))
 
 
 def _line(x: Column, depth: int) -> Column:
-    n = F.length(x) - F.length(F.translate(x, " ", "")) + 1
+    n = F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1
     return F.struct(F.xxhash64(x).alias("t"), F.xxhash64(n, F.substring_index(x, " ", depth)).alias("leaf"), n.alias("n"))
 
 
@@ -98,9 +106,10 @@ def drop_recurring_lines(docs: DataFrame, doc_id: str = "doc_id", min_docs: int
     own = [c for c in docs.columns if c != "lines_dropped"]
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST))
     slim = docs.where("text <> ''").select(key.alias("key"), "text")
-    parts = F.transform(F.array_distinct(F.filter(templates(F.col("text")), lambda x: x != "")), lambda x: _line(x, depth))
+    parts = lambda even: F.transform(F.array_distinct(F.filter(_templates(even), lambda x: x != "")), lambda x: _line(x, depth))
+    both = let(_even(F.col("text")), lambda even: F.struct(_sketch(even).alias("sketch"), parts(even).alias("parts")))
     # The sketch stands below the explode, or it would be computed for every line.
-    each = slim.select("key", _sketch(F.col("text")).alias("sketch"), parts.alias("parts")).select("key", "sketch", F.explode("parts").alias("l"))
+    each = slim.select("key", both.alias("b")).select("key", F.col("b.sketch").alias("sketch"), F.explode("b.parts").alias("l"))
     lines = materialize(each.select("key", "sketch", "l.*"), "lines")
     exact = materialize(recurring(lines, min_docs, passage_tokens, apart, "t", "n").select("t", "first"), "exact-templates")
     wider = _generalised(slim, lines, exact, depth, min_docs, constant, similarity, apart)
