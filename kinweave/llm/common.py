@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import types
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,8 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def words(text: Column) -> Column:
     """The words of a text as an array; null text has none."""
-    flat = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")
-    return F.array_remove(F.split(flat, " "), "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
 
 
 def let(value: Column, body) -> Column:
@@ -35,6 +35,14 @@ def ship(module: str) -> None:
 ship(__name__)
 
 
+def per_process(key: str, make):
+    """A value that a worker process makes once and keeps for its later tasks."""
+    kept = sys.modules.setdefault("_kinweave_worker", types.ModuleType("_kinweave_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def batched(column, rows: int = 256):
     """The Python values of an Arrow column, a few rows at a time: long texts never pile up."""
     for at in range(0, len(column), rows):

@@ -31,12 +31,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import batched, ddl, ship, table
+from kinweave.llm.common import batched, ddl, per_process, ship, table
 from kinweave.scratch import materialize
 
 ship(__name__)
 
-SEQUENCE, END_ID, GROUP_PIECES, CACHE_WORDS, CHUNK_CHARS = 2048, 0, 16_384, 300_000, 6_000_000
+SEQUENCE, END_ID, GROUP_PIECES, CACHE_WORDS, CHUNK_CHARS = 2048, 0, 8192, 500_000, 8_000_000
 #: Texts without these are tokenized word by word: for all other characters the tokenizer's
 #: normal form is lower case, and no token crosses white space.
 _SPECIAL = re.compile(r"[^\t-\r\x20-\x7e¡-ɏ]|<\|")
@@ -135,7 +135,7 @@ def _chunks(column, chars: int = CHUNK_CHARS) -> Iterator[list[str]]:
 
 def _pieces_of(path: str, keys: int, sequence: int, end_id: int, split: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = WordCachedTokenizer(path, split)
+        tok = per_process(f"tokenizer {path} {split}", lambda: WordCachedTokenizer(path, split))
         for b in batches:
             row, piece, start, length, crc = (array("q") for _ in range(5))
             for i, found in enumerate(ids for texts in _chunks(b.column(keys)) for ids in tok.ids(texts)):
