@@ -74,7 +74,7 @@ def measures(text: Column, stop_words: list[str] | None = None) -> dict[str, Col
         ),
     )
     dup = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
-    less = lambda chars: (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
+    less = lambda chars: reduce(lambda x, y: x + y, (F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in chars)).cast("long")
     return {"m": m, "d": dup, "n_symbols": less(SYMBOLS), "n_exclaims": less("!")}
 
 
