@@ -49,11 +49,15 @@ def fingerprint(text: str | None, shingle: int) -> int:
     stops = ends[shingle - 1 :] - 1
     starts = np.concatenate(([0], ends[: len(stops) - 1]))
     h = xxhash.xxh64_intdigest
-    ones, n = np.zeros(64, np.int64), len(stops)
-    for at in range(0, n, 1 << 16):
-        hs = np.array([h(flat[s:e], SEED) for s, e in zip(starts[at : at + (1 << 16)].tolist(), stops[at : at + (1 << 16)].tolist())], dtype=np.uint64)
-        ones += np.unpackbits(hs.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return majority(np.array([h(flat[s:e], SEED) for s, e in zip(starts.tolist(), stops.tolist())], dtype=np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes; zero if there are none."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
 def _fingerprints(keys: int, shingle: int):
@@ -147,9 +151,10 @@ def _flood(fps: np.ndarray, at: np.ndarray, radius: int) -> list[tuple[int, int]
     links: list[tuple[int, int]] = []
     rest, vals = at, fps[at]
     near = np.zeros(len(at), bool)
-    for s in range(0, len(at), 512):
-        hit = np.bitwise_count(vals[s : s + 512, None] ^ vals[None, :]) <= radius
-        near[s : s + 512] = hit.sum(1) > 1
+    step = max(1, (1 << 21) // max(1, len(at)))
+    for s in range(0, len(at), step):
+        hit = np.bitwise_count(vals[s : s + step, None] ^ vals[None, :]) <= radius
+        near[s : s + step] = hit.sum(1) > 1
     rest, vals = at[near], vals[near]
     while len(rest):
         root, frontier = rest[0], [vals[0]]
