@@ -184,7 +184,7 @@ def louvain(nodes: DataFrame, edges: DataFrame, levels: int = 4, rounds: int = 8
         both = graph.select(F.col("src").alias("v"), F.col("dst").alias("o"), "w").unionAll(graph.select(F.col("dst").alias("v"), F.col("src").alias("o"), "w"))
         both = checkpoint(both)
         strength = checkpoint(both.groupBy("v").agg(F.sum("w").alias("k")))
-        at = strength.select("v", F.col("v").alias("c"))
+        at = checkpoint(strength.select("v", F.col("v").alias("c")))  # no longer known to be equal: constraints would multiply
 
         def quality(at: DataFrame, graph: DataFrame = graph) -> float:
             s, d = at.select(F.col("v").alias("src"), F.col("c").alias("l_src")), at.select(F.col("v").alias("dst"), F.col("c").alias("l_dst"))

@@ -29,9 +29,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a slim table through the shared folder (eager and reliable)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage of a slim table between the rounds of a loop.
+
+    The table is written, not checkpointed as an RDD: that would keep the
+    estimated size of its plan, and sizes that multiply in every round's joins
+    stall the optimizer and hide what is small enough to broadcast.
+    """
+    return materialize(df, "round")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
