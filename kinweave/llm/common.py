@@ -43,6 +43,11 @@ def per_process(key: str, make):
     return kept[key]
 
 
+def forget() -> None:
+    """Let go of what ``per_process`` keeps: another operator's tasks need the memory."""
+    sys.modules.setdefault("_kinweave_worker", types.ModuleType("_kinweave_worker")).__dict__.clear()
+
+
 def batched(column, rows: int = 256):
     """The Python values of an Arrow column, a few rows at a time: long texts never pile up."""
     for at in range(0, len(column), rows):

@@ -29,11 +29,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import batched, ddl, ship, table
+from kinweave.llm.common import batched, ddl, forget, ship, table
 
 ship(__name__)
 
-SHINGLE, CONTAINMENT, BLOCK_ITEMS, CACHE_WORDS = 5, 0.8, 20_000, 400_000
+SHINGLE, CONTAINMENT, BLOCK_ITEMS, CACHE_WORDS = 5, 0.8, 20_000, 200_000
 _DROP = re.compile(r"[\W_]+")
 
 
@@ -116,6 +116,7 @@ class _WordNumbers:
 
 def _prober(index: ContainmentIndex, keys: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         words = _WordNumbers(index)
         for b in batches:
             rows, hits = [], []
@@ -157,6 +158,7 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def _rejector(index: ContainmentIndex, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         words = _WordNumbers(index)
         for b in batches:
             clean = [not index.find(words(text)) for text in batched(b.column(text_at))]

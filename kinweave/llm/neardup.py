@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import batched, ship
+from kinweave.llm.common import batched, forget, ship
 from kinweave.llm.simhash import SEED, hamming_links, majority
 from kinweave.operators.components import connected_components
 from kinweave.scratch import checkpoint, materialize
@@ -78,6 +78,7 @@ class MinHasher:
 
 def _sketches(shingle: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         minhash = MinHasher(bands, rows)
         for b in batches:
             fps, keys, same, signatures = [], [], [], []

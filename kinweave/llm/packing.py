@@ -36,7 +36,7 @@ from kinweave.scratch import materialize
 
 ship(__name__)
 
-SEQUENCE, END_ID, GROUP_PIECES, CACHE_WORDS, CHUNK_CHARS = 2048, 0, 8192, 500_000, 8_000_000
+SEQUENCE, END_ID, GROUP_PIECES, CACHE_WORDS, CHUNK_CHARS = 2048, 0, 8192, 400_000, 6_000_000
 #: Texts without these are tokenized word by word: for all other characters the tokenizer's
 #: normal form is lower case, and no token crosses white space.
 _SPECIAL = re.compile(r"[^\t-\r\x20-\x7e¡-ɏ]|<\|")

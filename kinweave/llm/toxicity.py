@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import batched, ddl, ship, table
+from kinweave.llm.common import batched, ddl, forget, ship, table
 from kinweave.scratch import materialize
 
 ship(__name__)
@@ -169,7 +169,7 @@ class _Scorer:
             for w in set((x or "").lower().split()):
                 got = cache.get(w)
                 if got is None:
-                    if len(cache) > 300_000:
+                    if len(cache) > 150_000:
                         cache.clear()
                     got = cache[w] = tuple(place[t] for t in terms_of(w) if t in place)
                 if got:
@@ -180,6 +180,7 @@ class _Scorer:
 
 def _score_batches(fm: FactorizationMachine, keys: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         scorer = _Scorer(fm)
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns[:keys], pa.array(scorer(b.column(keys)))], [*b.schema.names[:keys], "score"])
@@ -189,6 +190,7 @@ def _score_batches(fm: FactorizationMachine, keys: int):
 
 def _keep_batches(fm: FactorizationMachine, text_at: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         scorer = _Scorer(fm)
         for b in batches:
             yield b.filter(pa.array(scorer(b.column(text_at)) < least))
