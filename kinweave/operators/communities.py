@@ -184,7 +184,7 @@ def assign_single(nodes: DataFrame) -> DataFrame:
 def assign_fast(nodes: DataFrame, communities: int, seed: int = 42) -> DataFrame:
     """Every group spread evenly over all communities, in an order shuffled for each group."""
     _positive(communities)
-    grid = nodes.select("group_id").distinct().select("group_id", F.explode(F.sequence(F.lit(0), F.lit(communities - 1))).cast("long").alias("community_id"))
+    grid = nodes.select("group_id").distinct().select("group_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(communities - 1).cast("long"))).alias("community_id"))
     pos = F.row_number().over(Window.partitionBy("group_id").orderBy(u(seed + 1, "group_id", "community_id"), "community_id")) - 1
     return even_split(nodes, grid.withColumn("pos", pos), seed)
 
