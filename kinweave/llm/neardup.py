@@ -9,9 +9,11 @@ Equal word sequences are folded first. Candidate groups are dealt into parts of
 bounded size, by another hash in each band, and a part of the same members is
 taken once. Within a part, signatures estimate every similarity, and a spanning
 forest of the most similar pairs is verified by the exact similarity of the
-shingle sets. Trees that a failed pair leaves apart are tried again by their
-next likely pairs, four times as many in each round, until none is left. So a
-part of ``n`` gives about ``n`` comparisons of texts, and no similar pair in it
+shingle sets. The first bands come first: what they join is one tree for all
+others, so a large group is not joined again in each band. Trees that a failed
+pair leaves apart are tried again by their next likely pairs, four times as many
+in each round, until none is left. So a part of ``n`` gives about ``n``
+comparisons of texts, and no similar pair in it
 is left apart, unless its estimate is over 3 standard errors low. With 24 bands of 6 the bands miss a
 pair of similarity 0.8 once in 1,500, one of 0.85 once in 85,000.
 
@@ -36,9 +38,11 @@ from kinweave.scratch import checkpoint, materialize
 
 ship(__name__)
 
-SHINGLE, SIMILARITY, BANDS, ROWS, SALT_ROWS, PART_ROWS = 5, 0.8, 24, 6, 400, 300
+SHINGLE, SIMILARITY, BANDS, ROWS, FIRST_BANDS, SALT_ROWS, PART_ROWS = 5, 0.8, 24, 6, 4, 400, 300
 #: Signature values of 16 bits, and how far an estimate may lie below the similarity: 3 standard errors.
 SIGNATURE, SLACK = 128, 0.1
+#: Row keys (one number each) that are broadcast at most; 16 MB of them.
+BROADCAST_ROWS = 1_000_000
 
 
 def shingle_hashes(text: str | None, shingle: int) -> list[int]:
@@ -98,8 +102,8 @@ def _sketches(shingle: int, bands: int, rows: int):
     return run
 
 
-def likely_pairs(ids: list[int], signatures: list[bytes], failed: list, good: list, least: float, most: int) -> list[tuple[int, int]]:
-    """Pairs to verify in a part.
+def likely_pairs(ids: list[int], signatures: list[bytes], failed: list, good: list, trees: list[int], least: float, most: int) -> list[tuple[int, int]]:
+    """Pairs to verify in a part, between members of different ``trees``.
 
     At first (``most`` 0) a maximum spanning forest by estimated similarity;
     later, for every two trees of verified pairs, their ``most`` likeliest untried pairs.
@@ -107,30 +111,30 @@ def likely_pairs(ids: list[int], signatures: list[bytes], failed: list, good: li
     sig = np.frombuffer(b"".join(signatures), np.uint16).reshape(len(ids), -1)
     place, need = {x: i for i, x in enumerate(ids)}, (least - SLACK) * max(1, sig.shape[1])
     likeness = np.stack([(sig == s).sum(1, dtype=np.int32) for s in sig])
-    np.fill_diagonal(likeness, -1)
     pair = lambda i, j: (min(ids[i], ids[j]), max(ids[i], ids[j]))
-    links: list[tuple[int, int]] = []
+    tree, links = np.unique(np.array(trees, dtype=np.int64), return_inverse=True)[1], []
+    for i, own in enumerate(good):
+        for x in own or ():
+            if x in place and tree[i] != tree[place[x]]:
+                tree[tree == tree[place[x]]] = tree[i]
+    for i, own in enumerate(failed):
+        for x in own or ():
+            if x in place:
+                likeness[i, place[x]] = likeness[place[x], i] = -1
+    joined = tree[:, None] == tree[None, :]
     if not most:
-        # Prim: each member's best link to a tree that grows; a member without one starts the next.
+        # Prim: each member's best link to what has grown; a member without one starts the next tree.
+        likeness[joined] = np.iinfo(np.int32).max
         best, to, left = np.full(len(ids), -1, np.int32), np.zeros(len(ids), np.int64), np.ones(len(ids), bool)
         while left.any():
             i = int(np.argmax(np.where(left, best, -2)))
             left[i] = False
-            if best[i] >= need:
+            if best[i] >= need and not joined[i, to[i]]:
                 links.append(pair(i, to[i]))
             nearer = likeness[i] > best
             best, to = np.where(nearer, likeness[i], best), np.where(nearer, i, to)
         return links
-    tree = np.arange(len(ids))
-    for i, own in enumerate(good):
-        for x in own or ():
-            if x in place and tree[i] != tree[place[x]]:
-                tree[tree == tree[place[x]]] = tree[i]
-    for i, own in enumerate(failed):
-        for x in own or ():
-            if x in place:
-                likeness[i, place[x]] = likeness[place[x], i] = -1
-    rows, cols = np.nonzero(np.triu(likeness >= need) & (tree[:, None] != tree[None, :]))
+    rows, cols = np.nonzero(np.triu(likeness >= need) & ~joined)
     taken: dict[tuple[int, int], int] = {}
     for k in np.argsort(-likeness[rows, cols], kind="stable").tolist():
         i, j = int(rows[k]), int(cols[k])
@@ -143,7 +147,7 @@ def likely_pairs(ids: list[int], signatures: list[bytes], failed: list, good: li
 
 def _pairs(least: float, most: int):
     def run(part: pa.Table) -> pa.Table:
-        links = likely_pairs(*(part.column(c).to_pylist() for c in ("id", "signature", "failed", "good")), least, most)
+        links = likely_pairs(*(part.column(c).to_pylist() for c in ("id", "signature", "failed", "good", "tree")), least, most)
         return pa.table({"center": pa.array([x for x, _ in links], pa.int64()), "id": pa.array([x for _, x in links], pa.int64())})
 
     return run
@@ -177,6 +181,12 @@ def _verified(edges: DataFrame, texts: DataFrame, shingle: int, least: float) ->
     return both.groupBy("center", "salt").applyInArrow(_verifier(shingle, least), "center long, id long, similar boolean")
 
 
+def few(wide: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
+    """A semi or anti join of wide rows with one-column ``keys``, broadcast if they are counted to be few."""
+    keys = materialize(keys, "keys")
+    return wide.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, key, how)
+
+
 def row_key(docs: DataFrame) -> Column:
     """Equal for rows of equal id and text only (but for a chance of 2^-64 a pair)."""
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce(F.col("text"), F.lit("")))
@@ -199,8 +209,12 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     links = connected_components(hamming_links(folded.select("fp").distinct(), radius))
     near = folded.join(links, folded.fp == links.node, "left").select(F.struct(F.lit(-1).alias("band"), F.coalesce("component", "fp").alias("key")).alias("bucket"), "id")
     banded = folded.select("id", F.posexplode("bands").alias("band", "key")).select(F.struct("band", "key").alias("bucket"), "id")
-    parts = materialize(_parts(near.unionAll(banded), PART_ROWS).join(folded.where("signature <> x''").select("id", "signature"), "id"), "parts")
-    tested, most = None, 0
+    signed = folded.where("signature <> x''").select("id", "signature")
+    whole = materialize(_parts(near.unionAll(banded), PART_ROWS), "parts")
+    wanted = whole.select("id").distinct()
+    texts = materialize(few(slim, wanted.withColumnRenamed("id", "row"), "row", "left_semi").select("row", "text").dropDuplicates(["row"]), "candidate-texts")
+    first = _parts(near.unionAll(banded.where(F.col("bucket.band") < FIRST_BANDS)), PART_ROWS).join(signed, "id")
+    tested, most, parts = None, 0, first.withColumn("tree", F.col("id"))
     while True:
         if tested is None:
             told = parts.withColumns({"failed": F.lit(None).cast("array<long>"), "good": F.lit(None).cast("array<long>")})
@@ -211,24 +225,26 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
             told = parts.join(known, "id", "left")
         grown = told.groupBy("part").applyInArrow(_pairs(similarity, most), "center long, id long").distinct()
         edges = materialize(grown if tested is None else grown.join(tested, ["center", "id"], "left_anti"), "likely-pairs")
-        if edges.isEmpty():
+        if tested is not None and edges.isEmpty():
             break
-        wanted = edges.select(F.explode(F.array("center", "id")).alias("row")).distinct()
-        texts = slim.join(wanted, "row", "left_semi").select("row", "text").dropDuplicates(["row"])
         found = _verified(edges, texts, shingle, similarity)
-        tested = materialize(found if tested is None else found.unionAll(tested), "verified")
+        again = tested is not None
+        tested = materialize(found.unionAll(tested) if again else found, "verified")
+        if not again:
+            trees = connected_components(tested.where("similar"), "center", "id").select(F.col("node").alias("id"), "component")
+            named = whole.join(trees, "id", "left").select("part", "id", F.coalesce("component", "id").alias("tree"))
+            apart = named.groupBy("part").agg(F.min("tree").alias("a"), F.max("tree").alias("b")).where("a <> b").select("part")
+            parts = materialize(named.join(apart, "part", "left_semi").join(signed, "id"), "parts-apart")
+            continue
         most = max(1, most) * 4
         # A part without a pair that failed is done.
         hurt = tested.where("not similar").select(F.explode(F.array("center", "id")).alias("id")).distinct()
-        again = parts.join(hurt, "id", "left_semi").groupBy("part").agg(F.count("*").alias("k")).where("k > 1").select("part")
-        parts = materialize(parts.join(again, "part", "left_semi"), "parts-again")
-    if tested is None:
-        named = folded.select("same", F.col("id").alias("head"))
-    else:
-        labels = connected_components(tested.where("similar"), "center", "id").join(folded.select(F.col("id").alias("node"), "rank"), "node")
-        firsts = labels.groupBy("component").agg(F.min(F.struct("rank", F.col("node").alias("id")))["id"].alias("head"))
-        heads = checkpoint(labels.join(firsts, "component").select(F.col("node").alias("id"), "head"))
-        named = folded.join(heads, "id", "left").select("same", F.coalesce("head", "id").alias("head"))
+        open_ = parts.join(hurt, "id", "left_semi").groupBy("part").agg(F.count("*").alias("k")).where("k > 1").select("part")
+        parts = materialize(parts.join(open_, "part", "left_semi"), "parts-again")
+    labels = connected_components(tested.where("similar"), "center", "id").join(folded.select(F.col("id").alias("node"), "rank"), "node")
+    firsts = labels.groupBy("component").agg(F.min(F.struct("rank", F.col("node").alias("id")))["id"].alias("head"))
+    heads = checkpoint(labels.join(firsts, "component").select(F.col("node").alias("id"), "head"))
+    named = folded.join(heads, "id", "left").select("same", F.coalesce("head", "id").alias("head"))
     return made.select("row", "rank", "same").join(named, "same").select("row", "rank", "head")
 
 
@@ -240,8 +256,10 @@ def keep_one_of_each(docs: DataFrame, **how) -> DataFrame:
     while name in docs.columns:
         name += "_"
     keyed = docs.withColumn(name, row_key(docs))
-    out = keyed.join(rows.where("kept and times = 1").select(F.col("row").alias(name)), name, "left_semi")
+    # Rows to leave out: those that lost, and repeated ones, of which one is put back.
+    gone = rows.where("not kept or times > 1").select(F.col("row").alias(name))
     again = rows.where("kept and times > 1").select(F.col("row").alias(name))
+    out = few(keyed, gone, name, "left_anti")
     if not again.isEmpty():
-        out = out.unionByName(keyed.join(again, name, "left_semi").dropDuplicates([name]))
+        out = out.unionByName(few(keyed, again, name, "left_semi").dropDuplicates([name]))
     return out.select(*docs.columns)
