@@ -1,7 +1,7 @@
 """Operator 5, line dedup: a log-template tree of fixed depth over the lines of all documents.
 
 Lines are cut into tokens; a token with a digit is a variable field from the
-start (``<*>``). The tree's levels are the token count and the leading
+start (``<*>``), unless less than ``similarity`` of the line would be left. The tree's levels are the token count and the leading
 ``depth`` tokens; a leaf generalises further: a position whose most frequent
 token covers less than ``constant`` of the leaf's lines becomes variable, and
 if enough positions stay constant (``similarity``) the lines that fit them
@@ -11,7 +11,7 @@ everywhere. Templates of ``passage_tokens`` or more tokens that two such
 documents share stay in the document of the smallest id only.
 
 Copies don't count: each document has a sketch (the least hash of its long
-words), and documents are counted by sketch; where fewer than ``apart`` of a
+words, or of its word pairs if those are few), and documents are counted by sketch; where fewer than ``apart`` of a
 template's documents differ in it, the template belongs to one family of
 copies, which document-level dedup handles, and stays.
 
@@ -41,8 +41,13 @@ def _even(text: Column) -> Column:
 
 
 def _templates(even: Column) -> Column:
-    masked = F.when(even.rlike("[0-9]"), F.regexp_replace(even, r"[^\s0-9]*+[0-9]\S*", "<*>")).otherwise(even)
-    return F.transform(F.split(masked, "\n"), lambda x: F.trim(x))
+    """A line of which too little is left when its fields are masked stays as it is."""
+    raw = F.split(even, "\n")
+    fields = lambda x: (F.length(x) - F.length(F.replace(x, F.lit("<*>"), F.lit("")))) / 3
+    tokens = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1
+    pick = lambda ms: F.transform(raw, lambda x, i: F.trim(F.when(fields(F.get(ms, i)) <= (1 - SIMILARITY) * tokens(F.get(ms, i)), F.get(ms, i)).otherwise(x)))
+    masked = F.split(F.regexp_replace(even, r"[^\s0-9]*+[0-9]\S*", "<*>"), "\n")
+    return F.when(even.rlike("[0-9]"), let(masked, pick)).otherwise(F.transform(raw, lambda x: F.trim(x)))
 
 
 def templates(text: Column) -> Column:
@@ -51,8 +56,12 @@ def templates(text: Column) -> Column:
 
 
 def _sketch(even: Column) -> Column:
-    long = F.filter(F.split(F.replace(even, F.lit("\n"), F.lit(" ")), " "), lambda w: F.length(w) >= 9)
-    return F.coalesce(F.array_min(F.transform(long, lambda w: F.xxhash64(w))), F.xxhash64(even))
+    """The least hash of the long words; of word pairs where long words are few."""
+    flat = F.split(F.replace(even, F.lit("\n"), F.lit(" ")), " ")
+    pairs = lambda ws: F.transform(ws, lambda w, i: F.xxhash64(w, F.get(ws, i + 1)))
+    long = lambda ws: F.transform(F.filter(ws, lambda w: F.length(w) >= 9), lambda w: F.xxhash64(w))
+    least = lambda ws: let(long(ws), lambda hs: F.array_min(F.when(F.size(hs) >= 16, hs).otherwise(pairs(ws))))
+    return F.coalesce(let(flat, least), F.xxhash64(even))
 
 
 def _line(x: Column, depth: int) -> Column:
