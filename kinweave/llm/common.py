@@ -27,6 +27,14 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Have rows with whole texts handed to Python in batches of bounded size, unless the session sets its own."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return df
+
+
 def ship(module: str) -> None:
     """Send a module's functions to the workers by value: executors need not have this package."""
     cloudpickle.register_pickle_by_value(sys.modules[module])

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import batched, ddl, forget, ship, table
+from kinweave.llm.common import batched, ddl, forget, ship, small_batches, table
 
 ship(__name__)
 
@@ -146,7 +146,7 @@ def contained_items(docs: DataFrame, items: DataFrame, keys: list[str], shingle:
 
     ``docs`` has ``text``; ``items`` has ``item_id, text``.
     """
-    rows = docs.select(*keys, "text")
+    rows = small_batches(docs).select(*keys, "text")
     schema = ddl(docs.select(*keys)) + ", item_id long, item_shingles long, shared_shingles long"
     parts = [rows.mapInArrow(_prober(index, len(keys)), schema) for index in _blocks(items, shingle, least, block_items)]
     return reduce(DataFrame.unionAll, parts).withColumn("containment", F.col("shared_shingles") / F.col("item_shingles"))
@@ -170,5 +170,5 @@ def _rejector(index: ContainmentIndex, text_at: int):
 def without_items(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, least: float = CONTAINMENT, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """The rows of ``docs`` that contain no item, with all their columns."""
     for index in _blocks(items, shingle, least, block_items):
-        docs = docs.mapInArrow(_rejector(index, docs.columns.index("text")), docs.schema)
+        docs = small_batches(docs).mapInArrow(_rejector(index, docs.columns.index("text")), docs.schema)
     return docs

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import batched, ddl, ship, table
+from kinweave.llm.common import batched, ddl, ship, small_batches, table
 from kinweave.llm.contamination import CACHE_WORDS, _DROP, plain_words
 
 ship(__name__)
@@ -168,7 +168,7 @@ def _scanner(templates: dict[str, str], least: float, keys: int):
 
 def scan_licenses(docs: DataFrame, keys: list[str], templates: dict[str, str] | None = None, least: float = COVERAGE) -> DataFrame:
     """One row for each document and license found in it; one with nulls where none is."""
-    rows = docs.select(*keys, F.col("text").cast("string"))
+    rows = small_batches(docs).select(*keys, F.col("text").cast("string"))
     schema = ddl(docs.select(*keys)) + ", license string, coverage double, first_word long, end_word long"
     return rows.mapInArrow(_scanner(templates or TEMPLATES, least, len(keys)), schema)
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import batched, forget, ship
+from kinweave.llm.common import batched, forget, ship, small_batches
 from kinweave.llm.simhash import SEED, hamming_links, majority
 from kinweave.operators.components import connected_components
 from kinweave.scratch import checkpoint, materialize
@@ -202,7 +202,7 @@ def _parts(buckets: DataFrame, part_rows: int) -> DataFrame:
 
 def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, radius: int = 2) -> DataFrame:
     """``row`` (see ``row_key``), ``rank`` (its id) and ``head``, the row that represents its group."""
-    slim = docs.select(row_key(docs).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("rank"), F.col("text").cast("string").alias("text"))
+    slim = small_batches(docs).select(row_key(docs).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("rank"), F.col("text").cast("string").alias("text"))
     made = materialize(slim.mapInArrow(_sketches(shingle, bands, rows), "row long, rank long, same binary, fp long, bands array<long>, signature binary"), "sketches")
     folded = made.groupBy("same").agg(F.min(F.struct("rank", "row")).alias("head"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
     folded = materialize(folded.select("same", F.col("head.row").alias("id"), F.col("head.rank").alias("rank"), "fp", "bands", "signature"), "folded")

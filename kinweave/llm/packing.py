@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import batched, ddl, per_process, ship, table
+from kinweave.llm.common import batched, ddl, per_process, ship, small_batches, table
 from kinweave.scratch import materialize
 
 ship(__name__)
@@ -160,7 +160,7 @@ def token_pieces(docs: DataFrame, keys: list[str], tokenizer: str, sequence: int
     ``split`` is the pattern by which the tokenizer cuts a word into parts; None
     encodes every text as a whole, whatever the tokenizer.
     """
-    rows = docs.select(*keys, F.col("text").cast("string"))
+    rows = small_batches(docs).select(*keys, F.col("text").cast("string"))
     schema = ddl(docs.select(*keys)) + ", piece int, start long, length long, ids_crc32 long"
     return rows.mapInArrow(_pieces_of(tokenizer, len(keys), sequence, end_id, split), schema)
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import batched, ddl, ship, table
+from kinweave.llm.common import batched, ddl, ship, small_batches, table
 from kinweave.operators.components import connected_components
 from kinweave.scratch import checkpoint, materialize
 
@@ -71,7 +71,7 @@ def _fingerprints(keys: int, shingle: int):
 
 def fingerprints(docs: DataFrame, keys: list[str], shingle: int = 3, text: str = "text") -> DataFrame:
     """``keys`` and the signed 64-bit ``fp`` of every row."""
-    rows = docs.select(*keys, F.col(text).cast("string"))
+    rows = small_batches(docs).select(*keys, F.col(text).cast("string"))
     return rows.mapInArrow(_fingerprints(len(keys), shingle), ddl(docs.select(*keys)) + ", fp long")
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import batched, ddl, forget, ship, table
+from kinweave.llm.common import batched, ddl, forget, ship, small_batches, table
 from kinweave.scratch import materialize
 
 ship(__name__)
@@ -115,7 +115,7 @@ class FactorizationMachine:
         return self
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, keep: int = 4096, min_docs: int = 4, factors: int = 4, epochs: int = 12, rate: float = 0.3, decay: float = 1e-6, seed: int = 7) -> FactorizationMachine:
+def train(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, keep: int = 4096, min_docs: int = 4, least_tell: float = 6.0, factors: int = 4, epochs: int = 12, rate: float = 0.3, decay: float = 1e-6, seed: int = 7) -> FactorizationMachine:
     """Learn from at most about ``max_train`` of the given labelled rows, chosen by a hash of their id.
 
     ``docs`` has ``doc_id, text``; ``labels`` has ``doc_id, y``. Labels that may
@@ -129,13 +129,13 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, keep: int
     picked = known.where(rank < round(share * 1_000_000)).limit(2 * max_train)
     # At most 2 * max_train rows of two numbers: broadcast, so that no text is shuffled to learn.
     rows = docs.join(F.broadcast(picked.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id")).select(F.col("y").cast("int").alias("y"), "text")
-    sample = materialize(rows.mapInArrow(_term_arrays, "y int, terms array<int>"), "toxic-sample")
+    sample = materialize(small_batches(rows).mapInArrow(_term_arrays, "y int, terms array<int>"), "toxic-sample")
     counts = sample.mapInArrow(_class_counts, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     classes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     a, b = F.col("n1") + 0.5, F.col("n0") + 0.5
     p, q = a / (classes.get(1, 0) + 1.0), b / (classes.get(0, 0) + 1.0)
     tells = F.abs(F.log(p / q)) * F.sqrt(F.least(F.col("n0") + F.col("n1"), F.lit(200)))
-    best = counts.where(F.col("n0") + F.col("n1") >= min_docs).orderBy(tells.desc(), "bucket").limit(keep)
+    best = counts.where((F.col("n0") + F.col("n1") >= min_docs) & (tells >= least_tell)).orderBy(tells.desc(), "bucket").limit(keep)
     fm = FactorizationMachine(np.array(sorted(r["bucket"] for r in best.collect()), dtype=np.int64))
     slim = sample.mapInArrow(_only(fm.buckets), "y int, terms array<int>").collect()
     slim.sort(key=lambda r: (r["y"], r["terms"]))  # the order of rows must not matter
@@ -200,12 +200,12 @@ def _keep_batches(fm: FactorizationMachine, text_at: int, least: float):
 
 def score(docs: DataFrame, fm: FactorizationMachine, keys: list[str]) -> DataFrame:
     """``keys`` and ``score`` of every row of ``docs``; the text goes no further."""
-    return docs.select(*keys, "text").mapInArrow(_score_batches(fm, len(keys)), ddl(docs.select(*keys)) + ", score double")
+    return small_batches(docs).select(*keys, "text").mapInArrow(_score_batches(fm, len(keys)), ddl(docs.select(*keys)) + ", score double")
 
 
 def reject(docs: DataFrame, fm: FactorizationMachine, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score less than ``least``, with all their columns."""
-    return docs.mapInArrow(_keep_batches(fm, docs.columns.index("text"), least), docs.schema)
+    return small_batches(docs).mapInArrow(_keep_batches(fm, docs.columns.index("text"), least), docs.schema)
 
 
 def held_out(doc_id: Column) -> Column:
