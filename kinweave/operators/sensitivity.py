@@ -44,15 +44,18 @@ def unpivot(rows: DataFrame, inputs: list[str], outputs: list[str], label: str |
     return rows.select(name.alias("label"), F.explode(pairs).alias("p")).select("label", "p.*").where(finite("x", "y"))
 
 
-def pawn(pairs: DataFrame, slices: int = 10, statistic: str = "median", least_rows: int = 20, least_slice: int = 10, extra: tuple[str, ...] = ()) -> DataFrame:
+def pawn(pairs: DataFrame, slices: int = 10, statistic: str = "median", least_rows: int = 20, least_slice: int = 10, extra: tuple[str, ...] = (), edge_digits: int | None = None) -> DataFrame:
     """``label, input, output, index``: how far slices of the input move the output's distribution.
 
     Slices lie between linear quantiles of the input, half open, the last
-    closed; small ones are skipped. NaN for few rows, a constant output or no slice.
+    closed; small ones are skipped. ``edge_digits`` rounds the quantiles, so that
+    values equal to one fall on the same side everywhere. NaN for few rows, a constant output or no slice.
     All inputs, outputs and labels are one job.
     """
     keys = ["label", "input", "output", *extra]
-    edges = pairs.groupBy(*keys).agg(F.percentile("x", F.array(*[F.lit(i / slices) for i in range(slices + 1)])).alias("e"), F.count("*").alias("rows"), F.stddev_pop("y").alias("sd"))
+    quantiles = F.percentile("x", F.array(*[F.lit(i / slices) for i in range(slices + 1)]))
+    quantiles = quantiles if edge_digits is None else F.transform(quantiles, lambda q: F.round(q, edge_digits))
+    edges = pairs.groupBy(*keys).agg(quantiles.alias("e"), F.count("*").alias("rows"), F.stddev_pop("y").alias("sd"))
     usable = edges.where(F.col("rows") >= least_rows).where("sd > 0")
     at = pairs.join(F.broadcast(usable), keys).withColumn("slice", F.expr(f"case when x = e[{slices}] then size(filter(slice(e, 1, {slices}), q -> q <= x and q < e[{slices}])) else size(filter(slice(e, 1, {slices}), q -> q <= x)) end"))
     last_empty = F.expr(f"case when x = e[{slices}] then {slices} else slice end")

@@ -23,10 +23,10 @@ def pairs(s, d, label=None):
 
 
 def boot(s, d):
-    rows = X.table(s, d, "lineitem").withColumn("row", F.concat_ws(".", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    rows = X.table(s, d, "lineitem").withColumn("row", F.concat_ws(".", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice").cast("double") * 100).cast("long")))
     p = F.array(*[F.struct(F.lit(i).alias("input"), F.col(i).cast("double").alias("x")) for i in INPUTS])
     long = rows.select(F.lit("all").alias("label"), "row", F.explode(p).alias("p"), F.col(OUTPUT).cast("double").alias("y")).select("label", "p.input", F.lit(OUTPUT).alias("output"), "p.x", "y", "row")
-    return rounded(S.pawn_bootstrap(long.where(S.finite("x", "y")), REPLICATES, slices=SLICES))
+    return rounded(S.pawn_bootstrap(long.where(S.finite("x", "y")), REPLICATES, slices=SLICES, edge_digits=9))
 
 
 def mixing(s, d, even):
@@ -70,9 +70,9 @@ def records(s, d):
 QUERIES = {
     "ks_distance": lambda s, d: rounded(S.ks_distance(degree(s, d), degree(s, d).select(F.col("out_degree").alias("degree")), "degree"), 9),
     "frobenius_distance": lambda s, d: rounded(S.frobenius_distance(mixing(s, d, False), mixing(s, d, True), ["l_src", "l_dst"], "share"), 9),
-    "pawn_indices": lambda s, d: rounded(S.pawn(pairs(s, d), SLICES)),
-    "pawn_by_label": lambda s, d: rounded(S.pawn(pairs(s, d, "l_returnflag"), SLICES)),
-    "pawn_top3": lambda s, d: rounded(S.top_indices(S.pawn(pairs(s, d, "l_returnflag"), SLICES), 3)),
+    "pawn_indices": lambda s, d: rounded(S.pawn(pairs(s, d), SLICES, edge_digits=9)),
+    "pawn_by_label": lambda s, d: rounded(S.pawn(pairs(s, d, "l_returnflag"), SLICES, edge_digits=9)),
+    "pawn_top3": lambda s, d: rounded(S.top_indices(S.pawn(pairs(s, d, "l_returnflag"), SLICES, edge_digits=9), 3)),
     "pawn_bootstrap": boot,
     "loss_metrics": lambda s, d: rounded(losses(s, d)),
     "composite_loss": lambda s, d: rounded(composite(s, d)),
@@ -89,7 +89,7 @@ def pawn_sql(source: str, keys: str = "label, input, output") -> str:
     """From rows (keys, x, y): slices between linear quantiles, gaps of distributions, their median."""
     qs = ", ".join(str(i / SLICES) for i in range(SLICES + 1))
     on = " AND ".join(f"a.{k.strip()} = b.{k.strip()}" for k in keys.split(","))
-    return f"""{source}, ed AS (SELECT {keys}, quantile_cont(x, [{qs}]) AS e, count(*) AS nr, stddev_pop(y) AS sd FROM rw GROUP BY {keys}),
+    return f"""{source}, ed AS (SELECT {keys}, list_transform(quantile_cont(x, [{qs}]), lambda q: round(q, 9)) AS e, count(*) AS nr, stddev_pop(y) AS sd FROM rw GROUP BY {keys}),
 sl AS (SELECT a.*, CASE WHEN x = e[{SLICES + 1}] THEN {SLICES} ELSE len(list_filter(e[1:{SLICES}], lambda q: q <= x)) END AS slice FROM rw a JOIN ed b ON {on} WHERE nr >= 20 AND sd > 0),
 ct AS (SELECT {keys}, slice, y, count(*) AS k FROM sl GROUP BY ALL),
 al AS (SELECT {keys}, y, sum(k) AS k FROM ct GROUP BY ALL),
@@ -105,7 +105,7 @@ ALL = pawn_sql("WITH rw AS (" + _ROWS.format(label="'all'") + ")")
 BY = pawn_sql("WITH rw AS (" + _ROWS.format(label="l_returnflag") + ")")
 BOOT = (
     "WITH r0 AS ("
-    + "SELECT 'l_quantity' AS input, l_quantity::double AS x, l_extendedprice::double AS y, concat_ws('.', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rowkey FROM lineitem UNION ALL SELECT 'l_discount', l_discount::double, l_extendedprice::double, concat_ws('.', l_orderkey, l_linenumber, l_partkey, l_suppkey) FROM lineitem"
+    + "SELECT 'l_quantity' AS input, l_quantity::double AS x, l_extendedprice::double AS y, concat_ws('.', l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice::double * 100)::bigint) AS rowkey FROM lineitem UNION ALL SELECT 'l_discount', l_discount::double, l_extendedprice::double, concat_ws('.', l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice::double * 100)::bigint) FROM lineitem"
     + f"), r1 AS (SELECT *, row_number() OVER (PARTITION BY input ORDER BY {u_sql(0, 'rowkey')}, rowkey) AS i, count(*) OVER (PARTITION BY input) AS n FROM r0), "
     + f"dr AS (SELECT input, rep, floor({u_sql(1, 'input', chr(39) + 'l_extendedprice' + chr(39), chr(39) + 'all' + chr(39), 'rep', 'i')} * n)::bigint + 1 AS i FROM r1 CROSS JOIN (SELECT unnest(range({REPLICATES})) AS rep)), "
     + "rw AS (SELECT 'all' AS label, dr.input, 'l_extendedprice' AS output, rep, x, y FROM dr JOIN r1 ON r1.input = dr.input AND r1.i = dr.i)"
