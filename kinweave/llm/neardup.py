@@ -193,10 +193,15 @@ def row_key(docs: DataFrame) -> Column:
 
 
 def _parts(buckets: DataFrame, part_rows: int) -> DataFrame:
-    """``part, id``: buckets of two or more, dealt into parts of about ``part_rows``; equal parts once."""
-    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    """``part, id``: buckets of two or more, dealt into parts of about ``part_rows``; equal parts once.
+
+    Every part of a bucket also has the bucket's earliest member (``rank``): the
+    text that others were most likely copied from, like which no two copies may be.
+    """
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("rank", "id"))["id"].alias("eldest")).where("n > 1")
     dealt = buckets.join(sizes, "bucket").withColumn("salt", F.pmod(F.xxhash64("id", "bucket"), F.ceil(F.col("n") / part_rows)))
-    sets = dealt.groupBy("bucket", "salt").agg(F.array_sort(F.collect_list("id")).alias("ids")).where("size(ids) > 1")
+    own = F.array_sort(F.array_union(F.collect_list("id"), F.array(F.first("eldest"))))
+    sets = dealt.groupBy("bucket", "salt").agg(own.alias("ids")).where("size(ids) > 1")
     return sets.select("ids").distinct().select(F.xxhash64("ids").alias("part"), F.explode("ids").alias("id"))
 
 
@@ -207,8 +212,8 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     folded = made.groupBy("same").agg(F.min(F.struct("rank", "row")).alias("head"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
     folded = materialize(folded.select("same", F.col("head.row").alias("id"), F.col("head.rank").alias("rank"), "fp", "bands", "signature"), "folded")
     links = connected_components(hamming_links(folded.select("fp").distinct(), radius))
-    near = folded.join(links, folded.fp == links.node, "left").select(F.struct(F.lit(-1).alias("band"), F.coalesce("component", "fp").alias("key")).alias("bucket"), "id")
-    banded = folded.select("id", F.posexplode("bands").alias("band", "key")).select(F.struct("band", "key").alias("bucket"), "id")
+    near = folded.join(links, folded.fp == links.node, "left").select(F.struct(F.lit(-1).alias("band"), F.coalesce("component", "fp").alias("key")).alias("bucket"), "id", "rank")
+    banded = folded.select("id", "rank", F.posexplode("bands").alias("band", "key")).select(F.struct("band", "key").alias("bucket"), "id", "rank")
     signed = folded.where("signature <> x''").select("id", "signature")
     whole = materialize(_parts(near.unionAll(banded), PART_ROWS), "parts")
     wanted = whole.select("id").distinct()
