@@ -10,10 +10,12 @@ documents that are not copies of each other; recurring templates are dropped
 everywhere. Templates of ``passage_tokens`` or more tokens that two such
 documents share stay in the document of the smallest id only.
 
-Copies don't count: each document has a sketch (the least hash of its long
-words, or of its word pairs if those are few), and documents are counted by sketch; where fewer than ``apart`` of a
-template's documents differ in it, the template belongs to one family of
-copies, which document-level dedup handles, and stays.
+Copies don't count: each document has a sketch (the ``SKETCH`` least hashes of
+its word pairs), and two documents are copies if their sketches put the
+similarity of their word pairs at ``alike`` or more. A template is met in as
+many documents as are found no two of which are copies; how many copies there
+are besides, or how large the corpus is, does not matter. Families of copies
+are left to document-level dedup.
 
 Every decision is about a template, so it holds for all rows with it, however
 often a row is repeated. Null and empty texts pass unchanged; blank lines stay;
@@ -28,10 +30,12 @@ from pyspark.sql import functions as F
 from kinweave.llm.common import let, table
 from kinweave.scratch import materialize
 
-MIN_DOCS, DEPTH, CONSTANT, SIMILARITY, PASSAGE_TOKENS, APART = 3, 4, 0.7, 0.6, 8, 0.3
+MIN_DOCS, DEPTH, CONSTANT, SIMILARITY, PASSAGE_TOKENS, ALIKE = 3, 4, 0.7, 0.6, 8, 0.6
 _LAST = (1 << 63) - 1
 #: Templates (one number each) that are broadcast at most; 16 MB of them.
 BROADCAST_ROWS = 1_000_000
+#: Hashes of a document's sketch; documents of a template that are looked at first; documents compared in one group.
+SKETCH, FIRST_DOCS, GROUP_DOCS = 64, 16, 64
 
 
 def _even(text: Column) -> Column:
@@ -56,12 +60,18 @@ def templates(text: Column) -> Column:
 
 
 def _sketch(even: Column) -> Column:
-    """The least hash of the long words; of word pairs where long words are few."""
+    """The least hashes of the word pairs, in order."""
     flat = F.split(F.replace(even, F.lit("\n"), F.lit(" ")), " ")
-    pairs = lambda ws: F.transform(ws, lambda w, i: F.xxhash64(w, F.get(ws, i + 1)))
-    long = lambda ws: F.transform(F.filter(ws, lambda w: F.length(w) >= 9), lambda w: F.xxhash64(w))
-    least = lambda ws: let(long(ws), lambda hs: F.array_min(F.when(F.size(hs) >= 16, hs).otherwise(pairs(ws))))
-    return F.coalesce(let(flat, least), F.xxhash64(even))
+    pairs = lambda ws: F.transform(ws, lambda w, i: F.hash(w, F.get(ws, i + 1)))
+    return F.slice(F.sort_array(F.array_distinct(let(flat, pairs))), 1, SKETCH)
+
+
+def _copies(a: Column, b: Column, alike: float) -> Column:
+    """Whether two sketches put the similarity at ``alike`` or more."""
+    both = F.array_intersect(a, b)
+    least = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
+    close = let(least, lambda u: F.size(F.array_intersect(u, both)) >= alike * F.size(u))
+    return F.when(F.size(both) < alike * F.greatest(F.size(a), F.size(b)), False).otherwise(close)
 
 
 def _line(x: Column, depth: int) -> Column:
@@ -70,23 +80,62 @@ def _line(x: Column, depth: int) -> Column:
 
 
 def _met(lines: DataFrame, *by: str) -> DataFrame:
-    """Documents, families and first id of each template; the hot ones are summed twice before they meet."""
-    part = lines.groupBy(*by, "sketch").agg(F.count("*").alias("k"), F.min("key").alias("first"))
-    return part.groupBy(*by).agg(F.sum("k").alias("docs"), F.count("*").alias("families"), F.min("first").alias("first"))
+    """Sketches and first id of what two or more sketches have; the hot ones are summed twice before they meet."""
+    part = lines.groupBy(*by, "sketch").agg(F.min("key").alias("first"))
+    return part.groupBy(*by).agg(F.count("*").alias("families"), F.min("first").alias("first")).where("families > 1")
+
+
+def _few(keys: DataFrame) -> DataFrame:
+    """Rows to join with, broadcast if they are counted to be few."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
 
-def recurring(lines: DataFrame, min_docs: int, passage_tokens: int, apart: float, *by: str) -> DataFrame:
+def _leaders(dealt: DataFrame, sketches: DataFrame, by: str, most: int, alike: float) -> DataFrame:
+    """``leaders`` of every ``by, salt``: sketches no two of which are copies, ``most`` at most, as found in order."""
+    both = dealt.join(sketches, "sketch").groupBy(by, "salt").agg(F.sort_array(F.collect_list(F.struct("sketch", "least"))).alias("all"))
+    none = F.array().cast("array<struct<sketch:bigint,least:array<int>>>")
+    full = lambda acc, x: (F.size(acc) >= most) | F.exists(acc, lambda y: _copies(y["least"], x["least"], alike))
+    found = F.aggregate("all", none, lambda acc, x: F.when(full(acc, x), acc).otherwise(F.concat(acc, F.array(x))))
+    return both.select(by, "salt", F.transform(found, lambda x: x["sketch"]).alias("leaders"))
+
+
+def _unrelated(lines: DataFrame, sketches: DataFrame, met: DataFrame, by: str, most: int, alike: float) -> DataFrame:
+    """``by, unrelated``: documents (``most`` at most) found to have it that are no copies of each other.
+
+    A few documents settle what is in many unrelated ones; of the rest all are
+    compared, in groups of which only the leaders meet again.
+    """
+    rows = materialize(lines.join(_few(met.select(by, "families")), by).select(by, "sketch", "families").distinct(), "shared-lines")
+    some = rows.where(F.pmod(F.xxhash64(by, "sketch"), F.col("families")) < FIRST_DOCS).withColumn("salt", F.lit(0))
+    seen = materialize(_leaders(some, sketches, by, most, alike), "leaders").select(by, F.size("leaders").alias("unrelated"))
+    left = rows.join(_few(seen.where(F.col("unrelated") >= most).select(by)), by, "left_anti")
+    size, k = max(GROUP_DOCS, 4 * most), 0
+    while True:
+        salt = F.pmod(F.xxhash64("sketch", F.lit(k)), F.ceil(F.col("families") / size))
+        groups = materialize(_leaders(left.withColumn("salt", salt), sketches, by, most, alike), "leaders")
+        n = F.size("leaders")
+        seen = seen.unionAll(groups.select(by, n.alias("unrelated")))
+        again = groups.groupBy(by).agg(F.count("*").alias("groups"), F.max(n).alias("n"), F.sum(n).alias("families"))
+        again = materialize(again.where((F.col("groups") > 1) & (F.col("n") < most)).select(by, "families"), "leaders-again")
+        if again.isEmpty():
+            return seen.groupBy(by).agg(F.max("unrelated").alias("unrelated"))
+        left, k = groups.join(_few(again), by).select(by, F.explode("leaders").alias("sketch"), "families").distinct(), k + 1
+
+
+def recurring(lines: DataFrame, sketches: DataFrame, min_docs: int, passage_tokens: int, alike: float) -> DataFrame:
     """Templates to drop; ``first`` is the document that may keep a shared passage, null where none may."""
-    met = _met(lines, *by).where((F.col("families") >= 2) & (F.col("families") >= apart * F.col("docs")))
-    everywhere = F.col("families") >= min_docs
-    out = met.where(everywhere | (F.col("n") >= passage_tokens))
-    return out.select(*by, F.when(~everywhere, F.col("first")).alias("first"))
+    met = _met(lines, "t", "n").where((F.col("families") >= min_docs) | (F.col("n") >= passage_tokens))
+    met = materialize(met, "met")
+    out = met.join(_unrelated(lines, sketches, met, "t", max(2, min_docs), alike), "t")
+    everywhere = F.col("unrelated") >= min_docs
+    out = out.where((F.col("unrelated") >= 2) & (everywhere | (F.col("n") >= passage_tokens)))
+    return out.select("t", F.when(~everywhere, F.col("first")).alias("first"))
 
 
-def _generalised(docs: DataFrame, lines: DataFrame, dropped: DataFrame, depth: int, min_docs: int, constant: float, similarity: float, apart: float) -> DataFrame:
+def _generalised(docs: DataFrame, lines: DataFrame, sketches: DataFrame, dropped: DataFrame, min_docs: int, constant: float, similarity: float, alike: float) -> DataFrame:
     """``t`` of lines that fit a template generalised in their leaf, where that template recurs."""
     rest = lines.join(dropped.where("first is null").select("t"), "t", "left_anti")
-    wide = _met(rest, "leaf").where((F.col("families") >= min_docs) & (F.col("families") >= apart * F.col("docs"))).select("leaf")
+    wide = _met(rest, "leaf").where(F.col("families") >= min_docs).select("leaf")
     kinds = rest.where("n > 1").join(wide, "leaf").select("t", "leaf", "n").distinct()
     kinds = materialize(kinds, "leaf-kinds")
     # Line texts are wide: they are picked before they are shuffled wherever the wanted templates are few.
@@ -102,12 +151,14 @@ def _generalised(docs: DataFrame, lines: DataFrame, dropped: DataFrame, depth: i
     fixed = held.groupBy("leaf").agg(F.count("*").alias("held"))
     fits = tokens.join(held, ["leaf", "pos", "token"], "left_semi").groupBy("leaf", "t").agg(F.count("*").alias("fit"))
     shared = fits.join(fixed, "leaf").where("fit = held").join(own.select("t", "n"), "t").where(F.col("held") >= similarity * F.col("n")).select("t", "leaf")
-    again = rest.join(shared.select("t"), "t")
-    good = _met(again, "leaf").where((F.col("families") >= min_docs) & (F.col("families") >= apart * F.col("docs"))).select("leaf")
+    shared = materialize(shared, "leaf-fits")
+    again = materialize(rest.join(_few(shared.select("t")), "t"), "leaf-again")
+    met = materialize(_met(again, "leaf").where(F.col("families") >= min_docs), "leaf-met")
+    good = _unrelated(again, sketches, met, "leaf", max(2, min_docs), alike).where(F.col("unrelated") >= min_docs).select("leaf")
     return shared.join(good, "leaf", "left_semi").select("t", F.lit(None).cast("long").alias("first"))
 
 
-def drop_recurring_lines(docs: DataFrame, doc_id: str = "doc_id", min_docs: int = MIN_DOCS, depth: int = DEPTH, constant: float = CONSTANT, similarity: float = SIMILARITY, passage_tokens: int = PASSAGE_TOKENS, apart: float = APART) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, doc_id: str = "doc_id", min_docs: int = MIN_DOCS, depth: int = DEPTH, constant: float = CONSTANT, similarity: float = SIMILARITY, passage_tokens: int = PASSAGE_TOKENS, alike: float = ALIKE) -> DataFrame:
     """``docs`` with recurring lines out of ``text``, and the count of dropped lines as the last column.
 
     The count's name is ``lines_dropped``; a column of that name is replaced.
@@ -116,12 +167,13 @@ def drop_recurring_lines(docs: DataFrame, doc_id: str = "doc_id", min_docs: int
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST))
     slim = docs.where("text <> ''").select(key.alias("key"), "text")
     parts = lambda even: F.transform(F.array_distinct(F.filter(_templates(even), lambda x: x != "")), lambda x: _line(x, depth))
-    both = let(_even(F.col("text")), lambda even: F.struct(_sketch(even).alias("sketch"), parts(even).alias("parts")))
+    both = let(_even(F.col("text")), lambda even: F.struct(_sketch(even).alias("least"), parts(even).alias("parts")))
     # The sketch stands below the explode, or it would be computed for every line.
-    each = slim.select("key", both.alias("b")).select("key", F.col("b.sketch").alias("sketch"), F.explode("b.parts").alias("l"))
-    lines = materialize(each.select("key", "sketch", "l.*"), "lines")
-    exact = materialize(recurring(lines, min_docs, passage_tokens, apart, "t", "n").select("t", "first"), "exact-templates")
-    wider = _generalised(slim, lines, exact, depth, min_docs, constant, similarity, apart)
+    each = materialize(slim.select("key", both.alias("b")).select("key", F.xxhash64("b.least").alias("sketch"), "b.least", "b.parts"), "lines")
+    sketches = each.groupBy("sketch").agg(F.first("least").alias("least"))
+    lines = each.select("key", "sketch", F.explode("parts").alias("l")).select("key", "sketch", "l.*")
+    exact = materialize(recurring(lines, sketches, min_docs, passage_tokens, alike), "exact-templates")
+    wider = _generalised(slim, lines, sketches, exact, min_docs, constant, similarity, alike)
     drops = materialize(exact.unionAll(wider).groupBy("t").agg(F.min(F.coalesce("first", F.lit(-_LAST - 1))).alias("first")), "templates")
     hit = lines.join(drops, "t").where("key <> first").groupBy("key").agg(F.collect_set("t").alias("_gone"))
 

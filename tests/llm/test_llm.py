@@ -232,6 +232,21 @@ def test_line_templates_generalise(spark):
     assert all("evening edition" not in r["text"] and r["lines_dropped"] == 1 for r in got)
 
 
+def test_lines_of_unrelated_documents_go_whatever_words_they_share(spark):
+    line, long = "All of this boilerplate stands under every page", [f"commonword{chr(97 + k)}" for k in range(16)]
+    docs = []
+    for i in range(12):
+        ws = prose(3000 + i, 160).split() + long
+        random.Random(i).shuffle(ws)
+        docs.append((i, "\n".join([" ".join(ws[:80]), line, " ".join(ws[80:])])))
+    # One text with a few words changed in each of many copies: a family, which stays whole.
+    base = [prose(4000 + k, 40) for k in range(8)]
+    copies = [(100 + i, "\n".join([*base[: i % 8], edited(base[i % 8], 2, i), *base[i % 8 + 1 :]])) for i in range(90)]
+    got = {r["doc_id"]: r for r in linededup.drop_recurring_lines(spark.createDataFrame(rows(docs + copies), SCHEMA)).collect()}
+    assert all(line not in got[i]["text"] and got[i]["lines_dropped"] == 1 for i in range(12))
+    assert all(got[i]["text"] == t for i, t in copies)
+
+
 def test_containment_brute_force(spark, odd, empty):
     items = [(i, prose(300 + i, 12 + 4 * i)) for i in range(12)] + [(50, "two words"), (51, ""), (52, None)]
     docs = []
