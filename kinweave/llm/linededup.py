@@ -5,14 +5,17 @@ start (``<*>``), unless less than ``similarity`` of the line would be left. The
 ``depth`` tokens; a leaf generalises further: a position whose most frequent
 token covers less than ``constant`` of the leaf's lines becomes variable, and
 if enough positions stay constant (``similarity``) the lines that fit them
-share one template. A template recurs if it is met in ``min_docs`` or more
+share one template. The lines that don't fit are a group of their own, to which
+the same applies; a group without a template is split by the tokens of its
+variable position with the most frequent token, until no group is left that
+could recur. A template recurs if it is met in ``min_docs`` or more
 documents that are not copies of each other; recurring templates are dropped
 everywhere. Templates of ``passage_tokens`` or more tokens that two such
 documents share stay in the document of the smallest id only.
 
 Copies don't count: each document has a sketch (the ``SKETCH`` least hashes of
-its word pairs), and two documents are copies if their sketches put the
-similarity of their word pairs at ``alike`` or more. A template is met in as
+its long words, or of its word pairs if those are few), and two documents are
+copies if their sketches put the similarity of these sets at ``alike`` or more. A template is met in as
 many documents as are found no two of which are copies; how many copies there
 are besides, or how large the corpus is, does not matter. Families of copies
 are left to document-level dedup.
@@ -60,10 +63,12 @@ def templates(text: Column) -> Column:
 
 
 def _sketch(even: Column) -> Column:
-    """The least hashes of the word pairs, in order."""
+    """The least hashes of the long words, in order; of word pairs where long words are few."""
     flat = F.split(F.replace(even, F.lit("\n"), F.lit(" ")), " ")
     pairs = lambda ws: F.transform(ws, lambda w, i: F.hash(w, F.get(ws, i + 1)))
-    return F.slice(F.sort_array(F.array_distinct(let(flat, pairs))), 1, SKETCH)
+    long = lambda ws: F.array_distinct(F.transform(F.filter(ws, lambda w: F.length(w) >= 9), lambda w: F.hash(w)))
+    pick = lambda ws: let(long(ws), lambda hs: F.when(F.size(hs) >= 16, hs).otherwise(F.array_distinct(pairs(ws))))
+    return F.slice(F.sort_array(let(flat, pick)), 1, SKETCH)
 
 
 def _copies(a: Column, b: Column, alike: float) -> Column:
@@ -132,27 +137,48 @@ def recurring(lines: DataFrame, sketches: DataFrame, min_docs: int, passage_toke
     return out.select("t", F.when(~everywhere, F.col("first")).alias("first"))
 
 
+def _open(own: DataFrame, min_docs: int) -> DataFrame:
+    """Lines of the groups that have two lines and could be met in ``min_docs`` documents."""
+    sums = own.groupBy("part").agg(F.count("*").alias("k"), F.sum("families").alias("f"))
+    return own.join(sums.where((F.col("k") > 1) & (F.col("f") >= min_docs)).select("part"), "part", "left_semi")
+
+
 def _generalised(docs: DataFrame, lines: DataFrame, sketches: DataFrame, dropped: DataFrame, min_docs: int, constant: float, similarity: float, alike: float) -> DataFrame:
     """``t`` of lines that fit a template generalised in their leaf, where that template recurs."""
     rest = lines.join(dropped.where("first is null").select("t"), "t", "left_anti")
     wide = _met(rest, "leaf").where(F.col("families") >= min_docs).select("leaf")
-    kinds = rest.where("n > 1").join(wide, "leaf").select("t", "leaf", "n").distinct()
+    kinds = rest.where("n > 1").join(wide, "leaf").groupBy("t", "leaf", "n").agg(F.count_distinct("sketch").alias("families"))
     kinds = materialize(kinds, "leaf-kinds")
     # Line texts are wide: they are picked before they are shuffled wherever the wanted templates are few.
     wanted = kinds.select("t")
     wanted = F.broadcast(wanted) if kinds.count() <= BROADCAST_ROWS else wanted
     text = docs.select(F.explode(F.array_distinct(templates(F.col("text")))).alias("line")).where("line <> ''")
     text = text.withColumn("t", F.xxhash64("line")).join(wanted, "t", "left_semi").groupBy("t").agg(F.first("line").alias("line"))
-    own = materialize(kinds.join(text, "t"), "leaf-lines")
-    tokens = own.select("leaf", "t", F.posexplode(F.split("line", " ")).alias("pos", "token"))
-    counts = tokens.groupBy("leaf", "pos", "token").count()
-    best = counts.groupBy("leaf", "pos").agg(F.max(F.struct("count", "token")).alias("b"), F.sum("count").alias("all"))
-    held = best.where(F.col("b.count") >= constant * F.col("all")).select("leaf", "pos", F.col("b.token").alias("token"))
-    fixed = held.groupBy("leaf").agg(F.count("*").alias("held"))
-    fits = tokens.join(held, ["leaf", "pos", "token"], "left_semi").groupBy("leaf", "t").agg(F.count("*").alias("fit"))
-    shared = fits.join(fixed, "leaf").where("fit = held").join(own.select("t", "n"), "t").where(F.col("held") >= similarity * F.col("n")).select("t", "leaf")
+    own = kinds.join(text, "t").select("t", "n", "families", F.col("leaf").alias("part"), F.split("line", " ").alias("words"))
+    own, shared = materialize(_open(own, min_docs), "leaf-lines"), None
+    while not own.isEmpty():
+        tokens = own.select("part", "t", F.posexplode("words").alias("pos", "token"))
+        counts = tokens.groupBy("part", "pos", "token").count()
+        best = counts.groupBy("part", "pos").agg(F.max(F.struct("count", "token")).alias("b"), F.sum("count").alias("all"))
+        share = F.col("b.count") / F.col("all")
+        # Held positions with their tokens; the other position to split by: of most frequent token, then the first.
+        told = best.groupBy("part").agg(
+            F.map_from_entries(F.collect_list(F.when(share >= constant, F.struct("pos", "b.token")))).alias("held"),
+            F.max(F.when(share < 1, F.struct(share.alias("share"), (-F.col("pos")).alias("pos")))).alias("split"),
+        )
+        n, fits = F.size("held"), F.forall(F.map_entries("held"), lambda e: F.get(F.col("words"), e["key"]) == e["value"])
+        step = own.join(told, "part").withColumn("fits", (n >= similarity * F.col("n")) & fits)
+        step = materialize(step.select(*own.columns, "fits", (-F.col("split.pos")).alias("at")), "leaf-groups")
+        fit = step.where("fits").select("t", F.col("part").alias("leaf"))
+        shared = fit if shared is None else shared.unionAll(fit)
+        # A group loses its fitting lines; one that none fits has a position to split by: it ends.
+        left = step.where("not fits").join(_few(fit.select(F.col("leaf").alias("part"), F.lit(True).alias("lost")).distinct()), "part", "left")
+        deeper = F.when(F.col("lost"), F.xxhash64("part", F.lit("rest"))).otherwise(F.xxhash64("part", "at", F.get(F.col("words"), F.col("at"))))
+        own = materialize(_open(left.select("t", "n", "families", deeper.alias("part"), "words"), min_docs), "leaf-lines")
+    if shared is None:
+        return dropped.limit(0)
     shared = materialize(shared, "leaf-fits")
-    again = materialize(rest.join(_few(shared.select("t")), "t"), "leaf-again")
+    again = materialize(rest.drop("leaf").join(_few(shared), "t"), "leaf-again")
     met = materialize(_met(again, "leaf").where(F.col("families") >= min_docs), "leaf-met")
     good = _unrelated(again, sketches, met, "leaf", max(2, min_docs), alike).where(F.col("unrelated") >= min_docs).select("leaf")
     return shared.join(good, "leaf", "left_semi").select("t", F.lit(None).cast("long").alias("first"))

@@ -232,11 +232,21 @@ def test_line_templates_generalise(spark):
     assert all("evening edition" not in r["text"] and r["lines_dropped"] == 1 for r in got)
 
 
+def test_a_leaf_holds_several_templates(spark):
+    names = ["anna", "boris", "carla", "denis", "edith", "fritz", "gerda", "harry"]
+    ends = ["for the evening edition", "in this morning paper"]
+    docs = [(i, "\n".join([prose(5000 + i, 30), f"written by our reporter {n} {ends[i % 2]}", prose(5100 + i, 30)])) for i, n in enumerate(names)]
+    other = [(20 + i, "\n".join([prose(5200 + i, 30), "written by our reporter " + prose(5300 + i, 5), prose(5400 + i, 30)])) for i in range(9)]
+    got = {r["doc_id"]: r["lines_dropped"] for r in linededup.drop_recurring_lines(spark.createDataFrame(rows(docs + other), SCHEMA)).collect()}
+    assert all(got[i] == (i < 20) for i in got)
+
+
 def test_lines_of_unrelated_documents_go_whatever_words_they_share(spark):
-    line, long = "All of this boilerplate stands under every page", [f"commonword{chr(97 + k)}" for k in range(16)]
+    line, long = "All of this boilerplate stands under every page", [f"commonword{k:c}" for k in range(97, 297)]
+    low = min(long, key=lambda w: (xxhash.xxh64_intdigest(w, 42) + (1 << 63)) % (1 << 64))  # every document's least long word
     docs = []
     for i in range(12):
-        ws = prose(3000 + i, 160).split() + long
+        ws = prose(3000 + i, 160).split() + random.Random(i).sample(long, 20) + [low]
         random.Random(i).shuffle(ws)
         docs.append((i, "\n".join([" ".join(ws[:80]), line, " ".join(ws[80:])])))
     # One text with a few words changed in each of many copies: a family, which stays whole.
