@@ -161,10 +161,10 @@ def _generalised(docs: DataFrame, lines: DataFrame, sketches: DataFrame, dropped
         counts = tokens.groupBy("part", "pos", "token").count()
         best = counts.groupBy("part", "pos").agg(F.max(F.struct("count", "token")).alias("b"), F.sum("count").alias("all"))
         share = F.col("b.count") / F.col("all")
-        # Held positions with their tokens; the other position to split by: of most frequent token, then the first.
+        # Held positions with their tokens; the position to split by: a variable one if any, of most frequent token, then the first.
         told = best.groupBy("part").agg(
             F.map_from_entries(F.collect_list(F.when(share >= constant, F.struct("pos", "b.token")))).alias("held"),
-            F.max(F.when(share < 1, F.struct(share.alias("share"), (-F.col("pos")).alias("pos")))).alias("split"),
+            F.max(F.when(share < 1, F.struct((share < constant).alias("variable"), share.alias("share"), (-F.col("pos")).alias("pos")))).alias("split"),
         )
         n, fits = F.size("held"), F.forall(F.map_entries("held"), lambda e: F.get(F.col("words"), e["key"]) == e["value"])
         step = own.join(told, "part").withColumn("fits", (n >= similarity * F.col("n")) & fits)
