@@ -5,17 +5,20 @@ similarity 0.8 differ in about ten of 64 bits, a radius at which the triangle
 bounds of a vantage-point tree exclude nothing. So candidate groups come from the
 SimHash trees and, besides, from MinHash bands over the same shingles.
 
-Equal word sequences are folded first. Candidate groups are dealt into parts of
-bounded size, by another hash in each band, and a part of the same members is
-taken once. Within a part, signatures estimate every similarity, and a spanning
-forest of the most similar pairs is verified by the exact similarity of the
-shingle sets. The first bands come first: what they join is one tree for all
-others, so a large group is not joined again in each band. Trees that a failed
-pair leaves apart are tried again by their next likely pairs, four times as many
-in each round, until none is left. So a part of ``n`` gives about ``n``
-comparisons of texts, and no similar pair in it
-is left apart, unless its estimate is over 3 standard errors low. With 24 bands of 6 the bands miss a
-pair of similarity 0.8 once in 1,500, one of 0.85 once in 85,000.
+Equal word sequences are folded first. Candidate groups of up to ``PART_ROWS``
+members are taken whole (groups of the same members once): signatures estimate
+every similarity, and a spanning forest of the most similar pairs is verified by
+the exact similarity of the shingle sets. The first bands come first: what they
+join is one tree for all others. Trees that a failed pair leaves apart are tried
+again by their next likely pairs, four times as many in each round, until none
+is left. So a part of ``n`` gives about ``n`` comparisons of texts.
+
+Larger groups, joined where they share members, go to ``families``, which links
+every two similar members exactly and without comparing all pairs.
+
+Candidates are what can be lost: 24 bands of 6 miss a pair of similarity 0.8 once
+in 1,500, one of 0.85 once in 85,000; an estimate of 128 values lies ``SLACK``
+too low once in 3,000 at 0.8 (3.4 standard errors), in groups up to ``PART_ROWS``.
 
 Null and empty texts are one group; a text of fewer words than a shingle is one
 shingle; null ids are the last to represent a group. Of repeated rows one stays.
@@ -32,35 +35,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm.common import batched, forget, ship, small_batches
-from kinweave.llm.simhash import SEED, hamming_links, majority
+from kinweave.llm.families import family_links, few_rows
+from kinweave.llm.simhash import hamming_links, majority, shingle_hashes, shingle_set
 from kinweave.operators.components import connected_components
 from kinweave.scratch import checkpoint, materialize
 
 ship(__name__)
 
 SHINGLE, SIMILARITY, BANDS, ROWS, FIRST_BANDS, SALT_ROWS, PART_ROWS = 5, 0.8, 24, 6, 4, 400, 300
-#: Signature values of 16 bits, and how far an estimate may lie below the similarity: 3 standard errors.
-SIGNATURE, SLACK = 128, 0.1
+#: Signature values of 16 bits, and how far an estimate may lie below the similarity.
+SIGNATURE, SLACK = 128, 0.12
 #: Row keys (one number each) that are broadcast at most; 16 MB of them.
 BROADCAST_ROWS = 1_000_000
 
 
-def shingle_hashes(text: str | None, shingle: int) -> list[int]:
-    """XXH64 of a text's word shingles, repeats included."""
-    ws = (text or "").encode("utf-8").lower().split()
-    if not ws:
-        return []
-    flat, h = b" ".join(ws), xxhash.xxh64_intdigest
-    ends = np.cumsum([len(w) + 1 for w in ws])
-    stops = ends[min(shingle, len(ws)) - 1 :] - 1
-    starts = np.concatenate(([0], ends[: len(stops) - 1]))
-    return [h(flat[s:e], SEED) for s, e in zip(starts.tolist(), stops.tolist())]
-
-
-def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    return np.unique(np.array(shingle_hashes(text, shingle), dtype=np.uint64))
-
-
 class MinHasher:
     def __init__(self, bands: int, rows: int) -> None:
         rng = np.random.default_rng(11)
@@ -87,7 +75,7 @@ def _sketches(shingle: int, bands: int, rows: int):
         for b in batches:
             fps, keys, same, signatures = [], [], [], []
             for text in batched(b.column(2)):
-                hashes = np.array(shingle_hashes(text, shingle), dtype=np.uint64)
+                hashes = shingle_hashes(text, shingle)
                 fp = majority(hashes)
                 fps.append(fp - (1 << 64) if fp >> 63 else fp)
                 own, signature = minhash(np.unique(hashes))
@@ -181,6 +169,10 @@ def _verified(edges: DataFrame, texts: DataFrame, shingle: int, least: float) ->
     return both.groupBy("center", "salt").applyInArrow(_verifier(shingle, least), "center long, id long, similar boolean")
 
 
+def spark_empty(like: DataFrame, schema: str) -> DataFrame:
+    return like.sparkSession.createDataFrame([], schema)
+
+
 def few(wide: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
     """A semi or anti join of wide rows with one-column ``keys``, broadcast if they are counted to be few."""
     keys = materialize(keys, "keys")
@@ -192,60 +184,54 @@ def row_key(docs: DataFrame) -> Column:
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce(F.col("text"), F.lit("")))
 
 
-def _parts(buckets: DataFrame, part_rows: int) -> DataFrame:
-    """``part, id``: buckets of two or more, dealt into parts of about ``part_rows``; equal parts once.
-
-    Every part of a bucket also has the bucket's earliest member (``rank``): the
-    text that others were most likely copied from, like which no two copies may be.
-    """
-    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("rank", "id"))["id"].alias("eldest")).where("n > 1")
-    dealt = buckets.join(sizes, "bucket").withColumn("salt", F.pmod(F.xxhash64("id", "bucket"), F.ceil(F.col("n") / part_rows)))
-    own = F.array_sort(F.array_union(F.collect_list("id"), F.array(F.first("eldest"))))
-    sets = dealt.groupBy("bucket", "salt").agg(own.alias("ids")).where("size(ids) > 1")
+def _parts(buckets: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``part, id``: the members of the buckets in ``sizes``; buckets of the same members once."""
+    dealt = buckets.join(sizes.select("bucket"), "bucket", "left_semi")
+    sets = dealt.groupBy("bucket").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     return sets.select("ids").distinct().select(F.xxhash64("ids").alias("part"), F.explode("ids").alias("id"))
 
 
-def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, radius: int = 2) -> DataFrame:
+def _families(buckets: DataFrame, large: DataFrame) -> DataFrame:
+    """``family, id``: members of large buckets; buckets that share a member are one family."""
+    keyed = buckets.join(few_rows(large.select("bucket")), "bucket", "left_semi").select(F.xxhash64("bucket").alias("src"), F.col("id").alias("dst"))
+    keyed = materialize(keyed, "large-buckets")
+    labels = connected_components(keyed)
+    return labels.join(keyed.select(F.col("dst").alias("node")).distinct(), "node", "left_semi").select(F.col("component").alias("family"), F.col("node").alias("id"))
+
+
+def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, radius: int = 2, part_rows: int = PART_ROWS) -> DataFrame:
     """``row`` (see ``row_key``), ``rank`` (its id) and ``head``, the row that represents its group."""
     slim = small_batches(docs).select(row_key(docs).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("rank"), F.col("text").cast("string").alias("text"))
     made = materialize(slim.mapInArrow(_sketches(shingle, bands, rows), "row long, rank long, same binary, fp long, bands array<long>, signature binary"), "sketches")
     folded = made.groupBy("same").agg(F.min(F.struct("rank", "row")).alias("head"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
     folded = materialize(folded.select("same", F.col("head.row").alias("id"), F.col("head.rank").alias("rank"), "fp", "bands", "signature"), "folded")
     links = connected_components(hamming_links(folded.select("fp").distinct(), radius))
-    near = folded.join(links, folded.fp == links.node, "left").select(F.struct(F.lit(-1).alias("band"), F.coalesce("component", "fp").alias("key")).alias("bucket"), "id", "rank")
-    banded = folded.select("id", "rank", F.posexplode("bands").alias("band", "key")).select(F.struct("band", "key").alias("bucket"), "id", "rank")
-    signed = folded.where("signature <> x''").select("id", "signature")
-    whole = materialize(_parts(near.unionAll(banded), PART_ROWS), "parts")
-    wanted = whole.select("id").distinct()
-    texts = materialize(few(slim, wanted.withColumnRenamed("id", "row"), "row", "left_semi").select("row", "text").dropDuplicates(["row"]), "candidate-texts")
-    first = _parts(near.unionAll(banded.where(F.col("bucket.band") < FIRST_BANDS)), PART_ROWS).join(signed, "id")
-    tested, most, parts = None, 0, first.withColumn("tree", F.col("id"))
+    near = folded.join(links, folded.fp == links.node, "left").select(F.struct(F.lit(-1).alias("band"), F.coalesce("component", "fp").alias("key")).alias("bucket"), "id")
+    banded = folded.select("id", F.posexplode("bands").alias("band", "key")).select(F.struct("band", "key").alias("bucket"), "id")
+    signed, buckets = folded.where("signature <> x''").select("id", "signature"), near.unionAll(banded)
+    sizes = materialize(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    small, large = sizes.where(F.col("n") <= part_rows), sizes.where(F.col("n") > part_rows)
+    whole = materialize(_parts(buckets, small), "parts")
+    families = None if large.isEmpty() else materialize(_families(buckets, large), "families")
+    wanted = whole.select("id") if families is None else whole.select("id").unionAll(families.select("id"))
+    texts = materialize(few(slim, wanted.distinct().withColumnRenamed("id", "row"), "row", "left_semi").select("row", "text").dropDuplicates(["row"]), "candidate-texts")
+    no_links = spark_empty(docs, "center long, id long, similar boolean")
+    known = no_links if families is None else family_links(families.select("family", "id"), texts, shingle, similarity).withColumn("similar", F.lit(True))
+    most, tested = 0, materialize(known, "verified")
+    for chosen in (_parts(buckets, small.where(F.col("bucket.band") < FIRST_BANDS)), whole):
+        parts = _apart(chosen, tested).join(signed, "id")
+        tested = _next_round(parts, tested, texts, shingle, similarity, 0)
+    parts = materialize(parts, "parts-apart")
     while True:
-        if tested is None:
-            told = parts.withColumns({"failed": F.lit(None).cast("array<long>"), "good": F.lit(None).cast("array<long>")})
-        else:
-            ways = tested.unionAll(tested.select(F.col("id").alias("center"), F.col("center").alias("id"), "similar"))
-            partner = lambda cond: F.collect_list(F.when(cond, F.col("center")))
-            known = ways.groupBy("id").agg(partner(~F.col("similar")).alias("failed"), partner(F.col("similar")).alias("good"))
-            told = parts.join(known, "id", "left")
-        grown = told.groupBy("part").applyInArrow(_pairs(similarity, most), "center long, id long").distinct()
-        edges = materialize(grown if tested is None else grown.join(tested, ["center", "id"], "left_anti"), "likely-pairs")
-        if tested is not None and edges.isEmpty():
-            break
-        found = _verified(edges, texts, shingle, similarity)
-        again = tested is not None
-        tested = materialize(found.unionAll(tested) if again else found, "verified")
-        if not again:
-            trees = connected_components(tested.where("similar"), "center", "id").select(F.col("node").alias("id"), "component")
-            named = whole.join(trees, "id", "left").select("part", "id", F.coalesce("component", "id").alias("tree"))
-            apart = named.groupBy("part").agg(F.min("tree").alias("a"), F.max("tree").alias("b")).where("a <> b").select("part")
-            parts = materialize(named.join(apart, "part", "left_semi").join(signed, "id"), "parts-apart")
-            continue
         most = max(1, most) * 4
         # A part without a pair that failed is done.
         hurt = tested.where("not similar").select(F.explode(F.array("center", "id")).alias("id")).distinct()
         open_ = parts.join(hurt, "id", "left_semi").groupBy("part").agg(F.count("*").alias("k")).where("k > 1").select("part")
         parts = materialize(parts.join(open_, "part", "left_semi"), "parts-again")
+        more = _next_round(parts, tested, texts, shingle, similarity, most)
+        if more is tested:
+            break
+        tested = more
     labels = connected_components(tested.where("similar"), "center", "id").join(folded.select(F.col("id").alias("node"), "rank"), "node")
     firsts = labels.groupBy("component").agg(F.min(F.struct("rank", F.col("node").alias("id")))["id"].alias("head"))
     heads = checkpoint(labels.join(firsts, "component").select(F.col("node").alias("id"), "head"))
@@ -253,6 +239,26 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     return made.select("row", "rank", "same").join(named, "same").select("row", "rank", "head")
 
 
+def _apart(parts: DataFrame, tested: DataFrame) -> DataFrame:
+    """``part, id, tree`` of the parts that verified links don't join already."""
+    trees = connected_components(tested.where("similar"), "center", "id").select(F.col("node").alias("id"), "component")
+    named = parts.join(trees, "id", "left").select("part", "id", F.coalesce("component", "id").alias("tree"))
+    apart = named.groupBy("part").agg(F.min("tree").alias("a"), F.max("tree").alias("b")).where("a <> b").select("part")
+    return materialize(named.join(apart, "part", "left_semi"), "apart")
+
+
+def _next_round(parts: DataFrame, tested: DataFrame, texts: DataFrame, shingle: int, similarity: float, most: int) -> DataFrame:
+    """``tested`` and the outcome of the next pairs of all parts; ``tested`` itself if there are none."""
+    ways = tested.unionAll(tested.select(F.col("id").alias("center"), F.col("center").alias("id"), "similar"))
+    partner = lambda cond: F.collect_list(F.when(cond, F.col("center")))
+    known = ways.join(parts.select("id").distinct(), "id", "left_semi").groupBy("id").agg(partner(~F.col("similar")).alias("failed"), partner(F.col("similar")).alias("good"))
+    grown = parts.join(known, "id", "left").groupBy("part").applyInArrow(_pairs(similarity, most), "center long, id long").distinct()
+    edges = materialize(grown.join(tested, ["center", "id"], "left_anti"), "likely-pairs")
+    if edges.isEmpty():
+        return tested
+    return materialize(_verified(edges, texts, shingle, similarity).unionAll(tested), "verified")
+
+
 def keep_one_of_each(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` (``doc_id, text`` and any others) that represent their group, one row each."""
     groups = similar_groups(docs, **how)

@@ -37,19 +37,25 @@ ship(__name__)
 SEED = 42
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """64 bits by majority over the hashes of word shingles, repeats included."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of a text's word shingles, repeats included; fewer words are one shingle."""
     ws = (text or "").encode("utf-8").lower().split()  # bytes.lower() maps A-Z only, bytes.split() cuts at ASCII space
     if not ws:
-        return 0
-    flat = b" ".join(ws)
-    if len(ws) <= shingle:
-        return xxhash.xxh64_intdigest(flat, SEED)
+        return np.zeros(0, np.uint64)
+    flat, h = b" ".join(ws), xxhash.xxh64_intdigest
     ends = np.cumsum([len(w) + 1 for w in ws])
-    stops = ends[shingle - 1 :] - 1
+    stops = ends[min(shingle, len(ws)) - 1 :] - 1
     starts = np.concatenate(([0], ends[: len(stops) - 1]))
-    h = xxhash.xxh64_intdigest
-    return majority(np.array([h(flat[s:e], SEED) for s, e in zip(starts.tolist(), stops.tolist())], dtype=np.uint64))
+    return np.array([h(flat[s:e], SEED) for s, e in zip(starts.tolist(), stops.tolist())], dtype=np.uint64)
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, shingle))
+
+
+def fingerprint(text: str | None, shingle: int) -> int:
+    """64 bits by majority over the hashes of word shingles; zero without words."""
+    return majority(shingle_hashes(text, shingle))
 
 
 def majority(hashes: np.ndarray) -> int:
