@@ -62,6 +62,14 @@ def batched(column, rows: int = 256):
         yield from column.slice(at, rows).to_pylist()
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of the frame is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def ddl(df: DataFrame) -> str:
     """The schema of a frame as text for mapInArrow."""
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)

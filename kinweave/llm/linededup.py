@@ -7,22 +7,23 @@ token covers less than ``constant`` of the leaf's lines becomes variable, and
 if enough positions stay constant (``similarity``) the lines that fit them
 share one template. The lines that don't fit are a group of their own, to which
 the same applies; a group without a template is split by the tokens of its
-variable position with the most frequent token, until no group is left that
-could recur. A template recurs if it is met in ``min_docs`` or more
+variable position with the most frequent token, down to ``LEAF_LEVELS`` more
+levels: the depth of the tree is fixed. A template recurs if it is met in ``min_docs`` or more
 documents that are not copies of each other; recurring templates are dropped
 everywhere. Templates of ``passage_tokens`` or more tokens that two such
 documents share stay in the document of the smallest id only.
 
 Copies don't count: each document has a sketch (the ``SKETCH`` least hashes of
-its long words, or of its word pairs if those are few), and two documents are
-copies if their sketches put the similarity of these sets at ``alike`` or more. A template is met in as
+its long words, or of all its words if those are few), and two documents are
+copies if their sketches put the similarity of these sets at ``alike`` or more:
+documents under one footer are unrelated unless they share over two thirds of their words. A template is met in as
 many documents as are found no two of which are copies; how many copies there
 are besides, or how large the corpus is, does not matter. Families of copies
 are left to document-level dedup.
 
 Every decision is about a template, so it holds for all rows with it, however
 often a row is repeated. Null and empty texts pass unchanged; blank lines stay;
-null ids count as the largest id. Built-in functions only.
+null ids count as the largest id, and among equal ids the order is by a hash of the text. Built-in functions only.
 """
 
 from __future__ import annotations
@@ -30,11 +31,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import let, table
+from kinweave.llm.common import free_name, let, table
 from kinweave.scratch import materialize
 
-MIN_DOCS, DEPTH, CONSTANT, SIMILARITY, PASSAGE_TOKENS, ALIKE = 3, 4, 0.7, 0.6, 8, 0.6
+MIN_DOCS, DEPTH, CONSTANT, SIMILARITY, PASSAGE_TOKENS, ALIKE = 3, 4, 0.7, 0.6, 8, 0.7
+#: Levels of the tree below the leading tokens, each a split by the telling position of a group.
+LEAF_LEVELS = 6
 _LAST = (1 << 63) - 1
+FIRST = "struct<key:bigint,row:bigint>"
 #: Templates (one number each) that are broadcast at most; 16 MB of them.
 BROADCAST_ROWS = 1_000_000
 #: Hashes of a document's sketch; documents of a template that are looked at first; documents compared in one group.
@@ -63,11 +67,11 @@ def templates(text: Column) -> Column:
 
 
 def _sketch(even: Column) -> Column:
-    """The least hashes of the long words, in order; of word pairs where long words are few."""
+    """The least hashes of the long words, in order; of all words where long ones are few."""
     flat = F.split(F.replace(even, F.lit("\n"), F.lit(" ")), " ")
-    pairs = lambda ws: F.transform(ws, lambda w, i: F.hash(w, F.get(ws, i + 1)))
-    long = lambda ws: F.array_distinct(F.transform(F.filter(ws, lambda w: F.length(w) >= 9), lambda w: F.hash(w)))
-    pick = lambda ws: let(long(ws), lambda hs: F.when(F.size(hs) >= 16, hs).otherwise(F.array_distinct(pairs(ws))))
+    hashed = lambda ws: F.array_distinct(F.transform(ws, lambda w: F.hash(w)))
+    long = lambda ws: hashed(F.filter(ws, lambda w: F.length(w) >= 9))
+    pick = lambda ws: let(long(ws), lambda hs: F.when(F.size(hs) >= 16, hs).otherwise(hashed(ws)))
     return F.slice(F.sort_array(let(flat, pick)), 1, SKETCH)
 
 
@@ -85,8 +89,8 @@ def _line(x: Column, depth: int) -> Column:
 
 
 def _met(lines: DataFrame, *by: str) -> DataFrame:
-    """Sketches and first id of what two or more sketches have; the hot ones are summed twice before they meet."""
-    part = lines.groupBy(*by, "sketch").agg(F.min("key").alias("first"))
+    """Sketches and first row of what two or more sketches have; the hot ones are summed twice before they meet."""
+    part = lines.groupBy(*by, "sketch").agg(F.min(F.struct("key", "row")).alias("first"))
     return part.groupBy(*by).agg(F.count("*").alias("families"), F.min("first").alias("first")).where("families > 1")
 
 
@@ -146,7 +150,10 @@ def _open(own: DataFrame, min_docs: int) -> DataFrame:
 def _generalised(docs: DataFrame, lines: DataFrame, sketches: DataFrame, dropped: DataFrame, min_docs: int, constant: float, similarity: float, alike: float) -> DataFrame:
     """``t`` of lines that fit a template generalised in their leaf, where that template recurs."""
     rest = lines.join(dropped.where("first is null").select("t"), "t", "left_anti")
-    wide = _met(rest, "leaf").where(F.col("families") >= min_docs).select("leaf")
+    wide = materialize(_met(rest.where("n > 1"), "leaf").where(F.col("families") >= min_docs), "leaf-met")
+    # A template can't be in more unrelated documents than its leaf: the leaves of copies end here.
+    most = max(2, min_docs)
+    wide = _few(materialize(_unrelated(rest, sketches, wide, "leaf", most, alike).where(F.col("unrelated") >= min_docs).select("leaf"), "wide-leaves"))
     kinds = rest.where("n > 1").join(wide, "leaf").groupBy("t", "leaf", "n").agg(F.count_distinct("sketch").alias("families"))
     kinds = materialize(kinds, "leaf-kinds")
     # Line texts are wide: they are picked before they are shuffled wherever the wanted templates are few.
@@ -156,7 +163,9 @@ def _generalised(docs: DataFrame, lines: DataFrame, sketches: DataFrame, dropped
     text = text.withColumn("t", F.xxhash64("line")).join(wanted, "t", "left_semi").groupBy("t").agg(F.first("line").alias("line"))
     own = kinds.join(text, "t").select("t", "n", "families", F.col("leaf").alias("part"), F.split("line", " ").alias("words"))
     own, shared = materialize(_open(own, min_docs), "leaf-lines"), None
-    while not own.isEmpty():
+    for _ in range(LEAF_LEVELS):
+        if own.isEmpty():
+            break
         tokens = own.select("part", "t", F.posexplode("words").alias("pos", "token"))
         counts = tokens.groupBy("part", "pos", "token").count()
         best = counts.groupBy("part", "pos").agg(F.max(F.struct("count", "token")).alias("b"), F.sum("count").alias("all"))
@@ -180,8 +189,8 @@ def _generalised(docs: DataFrame, lines: DataFrame, sketches: DataFrame, dropped
     shared = materialize(shared, "leaf-fits")
     again = materialize(rest.drop("leaf").join(_few(shared), "t"), "leaf-again")
     met = materialize(_met(again, "leaf").where(F.col("families") >= min_docs), "leaf-met")
-    good = _unrelated(again, sketches, met, "leaf", max(2, min_docs), alike).where(F.col("unrelated") >= min_docs).select("leaf")
-    return shared.join(good, "leaf", "left_semi").select("t", F.lit(None).cast("long").alias("first"))
+    good = _unrelated(again, sketches, met, "leaf", most, alike).where(F.col("unrelated") >= min_docs).select("leaf")
+    return shared.join(good, "leaf", "left_semi").select("t", F.lit(None).cast(FIRST).alias("first"))
 
 
 def drop_recurring_lines(docs: DataFrame, doc_id: str = "doc_id", min_docs: int = MIN_DOCS, depth: int = DEPTH, constant: float = CONSTANT, similarity: float = SIMILARITY, passage_tokens: int = PASSAGE_TOKENS, alike: float = ALIKE) -> DataFrame:
@@ -191,28 +200,34 @@ def drop_recurring_lines(docs: DataFrame, doc_id: str = "doc_id", min_docs: int
     """
     own = [c for c in docs.columns if c != "lines_dropped"]
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST))
-    slim = docs.where("text <> ''").select(key.alias("key"), "text")
+    row = F.xxhash64(key, "text")
+    slim = docs.where("text <> ''").select(key.alias("key"), row.alias("row"), "text")
     parts = lambda even: F.transform(F.array_distinct(F.filter(_templates(even), lambda x: x != "")), lambda x: _line(x, depth))
     both = let(_even(F.col("text")), lambda even: F.struct(_sketch(even).alias("least"), parts(even).alias("parts")))
     # The sketch stands below the explode, or it would be computed for every line.
-    each = materialize(slim.select("key", both.alias("b")).select("key", F.xxhash64("b.least").alias("sketch"), "b.least", "b.parts"), "lines")
+    each = materialize(slim.select("key", "row", both.alias("b")).select("key", "row", F.xxhash64("b.least").alias("sketch"), "b.least", "b.parts"), "lines")
     sketches = each.groupBy("sketch").agg(F.first("least").alias("least"))
-    lines = each.select("key", "sketch", F.explode("parts").alias("l")).select("key", "sketch", "l.*")
+    lines = each.select("key", "row", "sketch", F.explode("parts").alias("l")).select("key", "row", "sketch", "l.*")
     exact = materialize(recurring(lines, sketches, min_docs, passage_tokens, alike), "exact-templates")
     wider = _generalised(slim, lines, sketches, exact, min_docs, constant, similarity, alike)
-    drops = materialize(exact.unionAll(wider).groupBy("t").agg(F.min(F.coalesce("first", F.lit(-_LAST - 1))).alias("first")), "templates")
-    hit = lines.join(drops, "t").where("key <> first").groupBy("key").agg(F.collect_set("t").alias("_gone"))
-
-    def cut(gone: Column) -> Column:
-        raw = F.split(F.col("text"), "\n")
-        left = lambda ts: F.filter(raw, lambda x, i: ~F.array_contains(gone, F.xxhash64(F.get(ts, i))))
-        both = lambda kept: F.struct(F.array_join(kept, "\n").alias("text"), (F.size(raw) - F.size(kept)).alias("n"))
-        return let(templates(F.col("text")), lambda ts: let(left(ts), both))
-
-    named = docs.select(*own).withColumn("_key", key)
-    joined = named.join(hit.withColumnRenamed("key", "_key"), "_key", "left").withColumn("_cut", F.when(F.col("_gone").isNotNull() & (F.col("text") != ""), cut(F.col("_gone"))))
-    text = F.coalesce("_cut.text", "text")
-    return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in own], F.coalesce(F.col("_cut.n"), F.lit(0)).cast("long").alias("lines_dropped"))
+    drops = exact.unionAll(wider).groupBy("t").agg(F.min(F.coalesce("first", F.struct(F.lit(-_LAST - 1).alias("key"), F.lit(0).cast("long").alias("row")))).alias("first"))
+    drops = _few(materialize(drops, "templates"))
+    name, gone = free_name(docs, "row"), free_name(docs, "gone")
+    hit = lines.join(drops, "t").where(F.struct("key", "row") != F.col("first")).groupBy("row").agg(F.collect_set("t").alias(gone))
+    hit = materialize(hit.withColumnRenamed("row", name), "hits")
+    whole = docs.select(*own).withColumn(name, F.when(F.col("text") != "", row))
+    text = let(templates(F.col("text")), lambda ts: F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, F.xxhash64(F.get(ts, i)))))
+    cut = let(text, lambda kept: F.struct(F.array_join(kept, "\n").alias("text"), (F.size(F.split("text", "\n")) - F.size(kept)).cast("long").alias("n")))
+    out = lambda text, n: [*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in own], n.alias("lines_dropped")]
+    keys = hit.select(name)
+    if keys.count() > BROADCAST_ROWS:
+        mended = whole.join(hit, name, "left").withColumn(name, F.when(F.col(gone).isNotNull(), cut))
+        return mended.select(*out(F.coalesce(F.col(name)["text"], F.col("text")), F.coalesce(F.col(name)["n"], F.lit(0).cast("long"))))
+    # Only texts that lose a line are shuffled.
+    keys = F.broadcast(keys)
+    kept = whole.join(keys, name, "left_anti").select(*out(F.col("text"), F.lit(0).cast("long")))
+    mended = whole.join(keys, name, "left_semi").join(hit.hint("shuffle_hash"), name).withColumn(name, cut)
+    return kept.unionAll(mended.select(*out(F.col(name)["text"], F.col(name)["n"])))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

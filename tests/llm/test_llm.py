@@ -223,6 +223,38 @@ def test_line_dedup(spark, odd, empty):
     assert kept.columns == [c for c in odd.columns if c != "lines_dropped"] + ["lines_dropped"]
     assert sorted(map(str, (r["text"] for r in kept.collect()))) == sorted(map(str, (r["text"] for r in odd.collect())))
     assert linededup.drop_recurring_lines(empty).count() == 0
+    clash = df.withColumns({c: F.lit(1) for c in ("row", "gone", "_gone", "_row", "key", "_key", "_cut")})
+    again = {r["doc_id"]: r for r in linededup.drop_recurring_lines(clash).collect()}
+    assert {i: (r["text"], r["row"], r["_key"]) for i, r in again.items()} == {i: (r["text"], 1, 1) for i, r in got.items()}
+    nameless = linededup.drop_recurring_lines(df.withColumn("doc_id", F.lit(None).cast("long"))).collect()
+    assert sum(common in r["text"] for r in nameless) == 0 and sum(passage in r["text"] for r in nameless) == 1
+
+
+def test_lines_go_from_short_documents_and_beside_copies(spark):
+    footer = [f"{w} of our pages stands here for all readers {w}" for w in ("first", "second", "third", "fourth")]
+    short = [(i, "\n".join([prose(6000 + i, 30), *footer])) for i in range(12)]
+    one = "This line is in six unrelated documents"
+    six = [(100 + i, "\n".join([prose(6100 + i, 60), one, prose(6200 + i, 20)])) for i in range(6)]
+    copies = [(200 + i, six[0][1]) for i in range(40)]
+    got = {r["doc_id"]: r for r in linededup.drop_recurring_lines(spark.createDataFrame(rows(short + six + copies), SCHEMA)).collect()}
+    assert all(got[i]["text"] == t.split("\n")[0] for i, t in short)
+    assert all(one not in r["text"] for r in got.values())
+
+
+def test_line_dedup_brute_force(spark):
+    """Lines without fields in documents of which none are alike: dropped if in three or more, passages but once."""
+    r = random.Random(9)
+    for trial in range(2):
+        pool = [prose(7000 + 100 * trial + k, r.choice([2, 5, 9, 14])) for k in range(25)]
+        texts = [(i, "\n".join([prose(8000 + 100 * trial + i, 80)] + r.sample(pool, r.randrange(4)) + [""])) for i in range(30)]
+        where = collections.defaultdict(list)
+        for i, t in texts:
+            for x in set(t.split("\n")) - {""}:
+                where[x].append(i)
+        gone = lambda x, i: x and (len(where[x]) >= 3 or len(where[x]) == 2 and len(x.split()) >= 8 and i != min(where[x]))
+        want = {i: "\n".join(x for x in t.split("\n") if not gone(x, i)) for i, t in texts}
+        got = {r["doc_id"]: r["text"] for r in linededup.drop_recurring_lines(spark.createDataFrame(rows(texts), SCHEMA)).collect()}
+        assert got == want
 
 
 def test_line_templates_generalise(spark):
