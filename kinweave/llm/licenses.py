@@ -1,11 +1,13 @@
 """Operator 2, license scans: patience alignment of texts with license templates.
 
-Words of a text that a template has mark windows in which the template may
-stand. Within a window, words unique to both sides are anchors; the longest
-increasing subsequence of their places is kept, and the gaps between anchors
-are aligned the same way, recursively. Coverage is the share of the template's
-words that the alignment matched; a window whose words can't reach the asked
-coverage is left out before, which loses nothing.
+The words of a text that a template has, foreign words between them left out, are
+aligned with it: words unique to both sides are anchors; the longest increasing
+subsequence of their places is kept, and the gaps between anchors are aligned the
+same way, recursively. A stretch ends where more foreign words stand in a row than
+the template has words; long stretches are cut into overlapping windows of 1.25 and
+of 3 times its words, so that copies that follow each other are told apart and a
+notice may hold as many stray words of its own kind as it has words. Coverage is the share of the template's words that the alignment matched; a window
+whose words can't reach the asked coverage is left out before, which loses nothing.
 
 Words are lower-cased runs of letters and digits. Null and empty texts and
 texts without a license give one row with null license and coverage 0;
@@ -28,6 +30,8 @@ from kinweave.llm.contamination import CACHE_WORDS, _DROP, plain_words
 ship(__name__)
 
 COVERAGE = 0.8
+#: Cells of the table by which a gap without anchors is aligned, at most.
+GAP_CELLS = 1 << 15
 
 # Public license notices.
 TEMPLATES = {
@@ -69,8 +73,31 @@ def _increasing(places: list[int]) -> list[int]:
     return out[::-1]
 
 
+def _common(a: list, b: list) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, by the table of its lengths."""
+    n, m = len(a), len(b)
+    best = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n - 1, -1, -1):
+        row, below = best[i], best[i + 1]
+        for j in range(m - 1, -1, -1):
+            row[j] = below[j + 1] + 1 if a[i] == b[j] else max(below[j], row[j + 1])
+    out, i, j = [], 0, 0
+    while i < n and j < m:
+        if a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
 def align(a: list, b: list) -> list[tuple[int, int]]:
-    """Matched places of two word lists: common ends, then anchors, then the gaps between them."""
+    """Matched places of two word lists: common ends, then anchors, then the gaps between them.
+
+    A gap without anchors, where every common word stands twice or more, is aligned word by word.
+    """
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -87,6 +114,9 @@ def align(a: list, b: list) -> list[tuple[int, int]]:
         place = {w: y for y, w in enumerate(b[k:m], k) if one_b[w] == 1}
         anchors = [(x, place[w]) for x, w in enumerate(a[i:j], i) if one_a[w] == 1 and w in place]
         anchors = [anchors[x] for x in _increasing([y for _, y in anchors])]
+        if not anchors and (j - i) * (m - k) <= GAP_CELLS:
+            out.extend((i + x, k + y) for x, y in _common(a[i:j], b[k:m]))
+            continue
         out.extend(anchors)
         for (x0, y0), (x1, y1) in zip([(i - 1, k - 1), *anchors], [*anchors, (j, m)], strict=True) if anchors else ():
             todo.append((x0 + 1, x1, y0 + 1, y1))
@@ -102,21 +132,24 @@ class LicenseScanner:
             if ws:
                 self.templates.append((name, ws, Counter(ws)))
 
-    def windows(self, ids: list[int], ws: list[int], has: Counter) -> Iterator[tuple[int, int]]:
-        """Stretches of the text that may hold the template; long ones are cut with overlap."""
-        gap, width = max(6, len(ws) // 4), 2 * len(ws)
+    def windows(self, ids: list[int], ws: list[int], has: Counter) -> Iterator[list[int]]:
+        """Places of the template's words in stretches of the text; long ones are cut with overlap.
+
+        Foreign words between them don't count: they match nothing and only part stretches
+        where there are more of them in a row than the template has words.
+        """
+        gap, n = max(6, len(ws)), len(ws)
         hits = [i for i, w in enumerate(ids) if w in has]
         s = 0
         while s < len(hits):
             e = s
             while e + 1 < len(hits) and hits[e + 1] - hits[e] <= gap:
                 e += 1
-            lo, hi = hits[s], hits[e] + 1
-            if hi - lo <= width:
-                yield lo, hi
-            else:
-                step = max(1, len(ws) // 4)
-                yield from ((at, min(hi, at + len(ws) + step)) for at in range(lo, max(lo + 1, hi - len(ws) + step), step))
+            stretch = hits[s : e + 1]
+            for width, step in (n + max(1, n // 4), max(1, n // 4)), (3 * n, n):
+                yield from (stretch[at : at + width] for at in range(0, max(1, len(stretch) - width + step), step))
+                if len(stretch) <= width:
+                    break
             s = e + 1
 
     def scan(self, ids: list[int]) -> list[tuple[str, float, int, int]]:
@@ -127,13 +160,13 @@ class LicenseScanner:
             if sum(n for w, n in has.items() if w in present) < need:
                 continue
             best = None
-            for lo, hi in self.windows(ids, ws, has):
-                part = ids[lo:hi]
-                if sum((Counter(part) & has).values()) < need:
+            for places in self.windows(ids, ws, has):
+                part = [ids[i] for i in places]
+                if len(part) < need or sum((Counter(part) & has).values()) < need:
                     continue
                 pairs = align(part, ws)
                 if len(pairs) >= need and (best is None or len(pairs) > best[0]):
-                    best = (len(pairs), lo + pairs[0][0], lo + pairs[-1][0] + 1)
+                    best = (len(pairs), places[pairs[0][0]], places[pairs[-1][0]] + 1)
             if best:
                 out.append((name, best[0] / len(ws), best[1], best[2]))
         # A notice inside a longer license that was found is a part of it.

@@ -2,8 +2,10 @@
 
 Terms are the words of the whole text (lower case, outer punctuation off) and
 their prefixes of 4 to 6 letters, hashed into 2^20 buckets. From a bounded
-sample of labelled rows (``max_train``) the buckets that tell the classes apart
-best are kept; a second-order factorization machine learns their weights and
+sample of labelled rows (``max_train``) two kinds of buckets are kept: those that tell
+the classes apart alone, and those of the pairs that tell clearly more together
+than either alone, looked for among the ``pair_terms`` most frequent neutral buckets and the
+best telling ones. A second-order factorization machine learns their weights and
 their pairwise interactions, so that two terms together may say what neither
 says alone. Scoring is one Arrow pass over all rows, without a shuffle.
 
@@ -63,6 +65,30 @@ def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(seen[0, at]), pa.array(seen[1, at])], ["bucket", "n0", "n1"])
 
 
+def tells(n0, n1, total0: int, total1: int):
+    """How well the counts of a thing in either class tell the classes apart; above 6 it is no chance."""
+    ratio = np.log((n1 + 0.5) / (total1 + 1.0)) - np.log((n0 + 0.5) / (total0 + 1.0))
+    return np.abs(ratio) * np.sqrt(np.minimum(n0 + n1, 200))
+
+
+def telling_pairs(rows: list[np.ndarray], y: np.ndarray, terms: np.ndarray, least_tell: float, most: int) -> np.ndarray:
+    """Terms of the pairs that tell clearly more together than either term alone, of the ``most`` best pairs.
+
+    ``rows`` hold places of ``terms``; both are bounded, and so is the table of pairs.
+    """
+    bits = np.zeros((len(rows), len(terms)), np.float32)
+    for i, r in enumerate(rows):
+        bits[i, r] = 1
+    both = [bits[y == k].T @ bits[y == k] for k in (0, 1)]
+    total = [int((y == k).sum()) for k in (0, 1)]
+    score = tells(both[0], both[1], *total)
+    own = score.diagonal()
+    gain = score - np.maximum(own[:, None], own[None, :])
+    i, j = np.nonzero(np.triu((score >= least_tell) & (gain >= least_tell / 2) & (both[0] + both[1] >= 8), 1))
+    best = np.lexsort((j, i, -gain[i, j]))[:most]
+    return np.unique(terms[np.concatenate((i[best], j[best]))])
+
+
 @dataclass
 class FactorizationMachine:
     """sigmoid(w0 + sum w_i + 1/2 sum_f ((sum v_if)^2 - sum v_if^2)) over the kept buckets of a row."""
@@ -82,10 +108,10 @@ class FactorizationMachine:
             z += 0.5 * (np.bincount(of, x, minlength=len(rows)) ** 2 - np.bincount(of, x * x, minlength=len(rows)))
         return z
 
-    def fit(self, rows: list[np.ndarray], y: np.ndarray, factors: int, epochs: int, rate: float, decay: float, seed: int) -> FactorizationMachine:
+    def fit(self, rows: list[np.ndarray], y: np.ndarray, factors: int, epochs: int, rate: float, decay: float, seed: int, spread: float = 0.05, v_rate: float = 0.3) -> FactorizationMachine:
         rng, n = np.random.default_rng(seed), len(self.buckets)
         share = float(np.clip(y.mean(), 1e-6, 1 - 1e-6)) if len(y) else 1e-6
-        self.w0, self.w, self.v = float(np.log(share / (1 - share))), np.zeros(n), rng.normal(0, 0.01, (n, factors))
+        self.w0, self.w, self.v = float(np.log(share / (1 - share))), np.zeros(n), rng.normal(0, spread, (n, factors))
         if not len(y) or y.min() == y.max():
             self.v[:] = 0
             return self
@@ -111,11 +137,11 @@ class FactorizationMachine:
                     rest = np.bincount(of, x, minlength=len(part))[of] - x
                     d = np.bincount(flat, err[of] * rest, minlength=n)[used] + decay * self.v[used, f]
                     gv[used, f] += d * d
-                    self.v[used, f] -= 0.3 * rate * d / np.sqrt(gv[used, f])
+                    self.v[used, f] -= v_rate * rate * d / np.sqrt(gv[used, f])
         return self
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, keep: int = 4096, min_docs: int = 4, least_tell: float = 6.0, factors: int = 4, epochs: int = 12, rate: float = 0.3, decay: float = 1e-6, seed: int = 7) -> FactorizationMachine:
+def train(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, keep: int = 4096, min_docs: int = 4, least_tell: float = 6.0, pair_terms: int = 768, pairs: int = 256, factors: int = 4, epochs: int = 12, rate: float = 0.3, decay: float = 1e-6, seed: int = 7) -> FactorizationMachine:
     """Learn from at most about ``max_train`` of the given labelled rows, chosen by a hash of their id.
 
     ``docs`` has ``doc_id, text``; ``labels`` has ``doc_id, y``. Labels that may
@@ -132,15 +158,27 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, keep: int
     sample = materialize(small_batches(rows).mapInArrow(_term_arrays, "y int, terms array<int>"), "toxic-sample")
     counts = sample.mapInArrow(_class_counts, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     classes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
-    a, b = F.col("n1") + 0.5, F.col("n0") + 0.5
-    p, q = a / (classes.get(1, 0) + 1.0), b / (classes.get(0, 0) + 1.0)
-    tells = F.abs(F.log(p / q)) * F.sqrt(F.least(F.col("n0") + F.col("n1"), F.lit(200)))
-    best = counts.where((F.col("n0") + F.col("n1") >= min_docs) & (tells >= least_tell)).orderBy(tells.desc(), "bucket").limit(keep)
-    fm = FactorizationMachine(np.array(sorted(r["bucket"] for r in best.collect()), dtype=np.int64))
-    slim = sample.mapInArrow(_only(fm.buckets), "y int, terms array<int>").collect()
-    slim.sort(key=lambda r: (r["y"], r["terms"]))  # the order of rows must not matter
-    x = [np.array(r["terms"], dtype=np.int64) for r in slim]
-    return fm.fit(x, np.array([r["y"] for r in slim], dtype=float), factors, epochs, rate, decay, seed)
+    n = F.col("n0") + F.col("n1")
+    p, q = (F.col("n1") + 0.5) / (classes.get(1, 0) + 1.0), (F.col("n0") + 0.5) / (classes.get(0, 0) + 1.0)
+    told = counts.where(n >= min_docs).withColumn("tell", F.abs(F.log(p / q)) * F.sqrt(F.least(n, F.lit(200))))
+    telling = [r["bucket"] for r in told.where(F.col("tell") >= least_tell).orderBy(F.desc("tell"), "bucket").limit(keep).collect()]
+    # A term that is neutral alone may tell beside another: the most frequent ones are looked at in pairs.
+    neutral = [r["bucket"] for r in told.where(F.col("tell") < least_tell).orderBy(F.desc(n), "bucket").limit(pair_terms).collect()]
+    known = np.array(sorted({*telling, *neutral}), dtype=np.int64)
+    slim = sample.mapInArrow(_only(known), "y int, terms binary").toArrow()
+    slim = sorted(zip(slim.column("y").to_pylist(), slim.column("terms").to_pylist()))  # the order of rows must not matter
+    y, x = np.array([y for y, _ in slim], dtype=float), [np.frombuffer(t, np.int32) for _, t in slim]
+    looked = np.array(sorted({*neutral, *telling[: pair_terms // 3]}), dtype=np.int64)
+    paired = telling_pairs(_renumbered(x, known, looked), y, looked, least_tell, pairs)
+    fm = FactorizationMachine(np.array(sorted({*telling, *paired.tolist()}), dtype=np.int64))
+    return fm.fit(_renumbered(x, known, fm.buckets), y, factors, epochs, rate, decay, seed)
+
+
+def _renumbered(rows: list[np.ndarray], old: np.ndarray, new: np.ndarray) -> list[np.ndarray]:
+    """Places in ``old`` as places in ``new``, a part of it; others go."""
+    place = np.full(len(old) + 1, -1, np.int64)
+    place[np.searchsorted(old, new)] = np.arange(len(new))
+    return [place[r][place[r] >= 0] for r in rows]
 
 
 def _only(buckets: np.ndarray):
@@ -150,8 +188,9 @@ def _only(buckets: np.ndarray):
             for t in b.column(1).to_pylist():
                 t = np.array(t, dtype=np.int64)
                 at = np.searchsorted(buckets, t)
-                out.append(at[(at < len(buckets)) & (buckets[np.minimum(at, len(buckets) - 1)] == t)].tolist() if len(buckets) else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], ["y", "terms"])
+                kept = at[(at < len(buckets)) & (buckets[np.minimum(at, len(buckets) - 1)] == t)] if len(buckets) else at[:0]
+                out.append(kept.astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["y", "terms"])
 
     return run
 
