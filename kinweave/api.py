@@ -49,9 +49,9 @@ def unfold(spark: SparkSession, population_path: str, interactions_path: str, sc
     return Network(pop, attrs, checkpoint(unfold_nodes(pop, scale)), checkpoint(pair_budget(inter, pop, attrs, scale)))
 
 
-def create_communities(net: Network, communities: int, mode: str = "capacity", seed: int = 42, refine_rounds: int = 10) -> Network:
+def create_communities(net: Network, communities: int, mode: str = "capacity", seed: int = 42, refine_rounds: int = 10, sizes: str | list[float] | None = None) -> Network:
     """The network with people assigned to communities by a named strategy."""
-    net.membership = checkpoint(C.create_communities(net.nodes, net.population, net.budget, net.attributes, communities, mode, seed, refine_rounds))
+    net.membership = checkpoint(C.create_communities(net.nodes, net.population, net.budget, net.attributes, communities, mode, seed, refine_rounds, sizes))
     net.communities = communities
     return net
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kinweave.scratch import checkpoint
+
 
 def rank_descending(rows: DataFrame, value: str, bucket: str, key: str, name: str = "rank") -> DataFrame:
     """1-based position by ``value`` descending, then ``bucket``, then ``key`` ascending.
@@ -25,8 +27,13 @@ def rank_descending(rows: DataFrame, value: str, bucket: str, key: str, name: st
 
 
 def dense_ids(values: DataFrame, column: str, name: str) -> DataFrame:
-    """0-based dense ids of distinct values in their order."""
-    return values.select(column).distinct().withColumn(name, (F.row_number().over(Window.orderBy(column)) - 1).cast("long"))
+    """0-based dense ids of distinct values in their order: ranges are ranked by themselves and begin where others end."""
+    ranges = values.select(column).distinct().repartitionByRange(F.col(column)).withColumn("_p", F.spark_partition_id())
+    ranges = checkpoint(ranges)
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    starts = ranges.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(column))
+    return ranges.withColumn("_rn", place).join(F.broadcast(starts), "_p").select(column, (F.col("_start") + F.col("_rn") - 1).cast("long").alias(name))
 
 
 def rank_within(rows: DataFrame, group: list[str], order: str, key: str, name: str = "rank", buckets: int = 64) -> DataFrame:

@@ -95,16 +95,25 @@ def spread_factor(nodes: DataFrame, pop: DataFrame, budget: DataFrame, communiti
     return j.select("group_id", k.cast("long").alias("k"))
 
 
-def size_targets(total: DataFrame, communities: int, kind: str, exact: bool) -> DataFrame:
-    """``rank, target``: community sizes by law; ``exact`` gives the remainder out round robin.
+def size_targets(total: DataFrame, communities: int, kind: str | list[float], exact: bool, seed: int = 42) -> DataFrame:
+    """``rank, target``: community sizes by law or by given shares; ``exact`` gives the remainder out round robin.
 
-    ``total`` has one row with ``n``, the number of people.
+    ``total`` has one row with ``n``, the number of people. The laws are ``powerlaw`` (1 / rank),
+    ``uniform`` and ``normal`` (spread 0.3 of the mean, at least one person).
     """
     ranks = total.select("n", F.explode(F.sequence(F.lit(1), F.lit(communities))).alias("rank"))
-    if kind == "powerlaw":
+    if isinstance(kind, list):
+        if len(kind) != communities:
+            raise ValueError(f"{len(kind)} shares for {communities} communities")
+        share = F.element_at(F.array(*[F.lit(float(x)) for x in kind]), F.col("rank"))
+    elif kind == "powerlaw":
         share = (1.0 / F.col("rank")) / F.lit(sum(1.0 / r for r in range(1, communities + 1)))
     elif kind == "uniform":
         share = F.lit(1.0) / communities
+    elif kind == "normal":
+        raw = ranks.withColumn("raw", F.greatest(F.lit(1.0), F.col("n") / communities * (1 + 0.3 * normal(seed, "rank"))))
+        ranks = raw.withColumn("share", F.col("raw") / F.sum("raw").over(Window.partitionBy("n")))
+        share = F.greatest(F.lit(1.0), F.bround(F.col("share") * F.col("n"), 0)) / F.col("n") + 1e-12
     else:
         raise ValueError(f"unknown size law {kind}")
     out = ranks.withColumn("t", (share * F.col("n")).cast("long"))
@@ -350,87 +359,184 @@ def soft_cost(x: Column, overshoot: float = 10.0) -> Column:
     return x * x * F.when(x >= 0, 1.0).otherwise(overshoot)
 
 
-def assign_annealed(nodes: DataFrame, budget: DataFrame, communities: int, mode: str = "capacity", batches: int = 12, seed: int = 42, capacity: float | None = None) -> DataFrame:
+def _deal(batch: DataFrame, choices: DataFrame, heat: float, seed: int) -> DataFrame:
+    """People of a batch in the communities of their group's ``choices`` (``g, community_id, cost``).
+
+    Shares fall with the cost as in a softmax of temperature ``heat``; a group's people, in random
+    order, are cut at the sums of its shares. One row for each choice and one for each person.
+    """
+    own = Window.partitionBy("g")
+    weight = F.exp(-F.least((F.col("cost") - F.min("cost").over(own)) / max(heat, 1e-3), F.lit(60.0)))
+    upto = own.orderBy(u(seed, "g", "community_id"), "community_id").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = batch.groupBy(F.col("group_id").alias("g")).agg(F.count("*").alias("n"))
+    shares = choices.withColumn("w", weight).select("g", "community_id", (F.sum("w").over(upto) / F.sum("w").over(own)).alias("cum"))
+    cuts = shares.join(sizes, "g").withColumn("hi", F.floor(F.col("n") * F.col("cum") + 1e-9))
+    ends = cuts.withColumn("lo", F.coalesce(F.lag("hi").over(own.orderBy("cum", "community_id")), F.lit(0))).where("hi > lo")
+    slots = ends.select(F.col("g").alias("group_id"), "community_id", F.explode(F.expr("sequence(lo + 1, hi)")).alias("rank"))
+    ranked = rank_within(batch.withColumn("x", u(seed + 1, "node_id")), ["group_id"], "x", "node_id")
+    return ranked.join(slots, ["group_id", "rank"]).select("node_id", "group_id", "community_id")
+
+
+def assign_annealed(nodes: DataFrame, budget: DataFrame, communities: int, mode: str = "capacity", batches: int = 12, seed: int = 42, capacity: float | None = None, candidates: int = 500, fresh: int = 64) -> DataFrame:
     """Simulated annealing by batches of people, with falling temperature.
 
     A batch sees the composition that earlier ones left. ``capacity``: a
     community costs by how far the links that it would add to the group leave
     its budgets, overshoot ten times as much. ``probability``: by the distance
-    of its mix of groups from the group's ideal row. Each person takes the
-    community of least cost plus Gumbel noise of the temperature. A community
-    above ``capacity`` people (default: a half more than the mean) is closed for
-    the next batches.
+    of its mix of groups from the group's ideal row. A group's candidates are
+    the communities where it has budgets with someone and ``fresh`` random ones,
+    ``candidates`` at most, drawn at random; its people are dealt among them
+    (``_deal``). A community above ``capacity`` people (default: a half more than
+    the mean) is closed for the next batches, unless a group has no other.
     """
     _positive(communities)
-    spark = nodes.sparkSession
     people = checkpoint(nodes.select("node_id", "group_id").withColumn("_batch", F.floor(u(seed, "node_id") * batches).cast("int")))
     limit = capacity or 1.5 * max(1, people.count()) / communities
     wanted = checkpoint(budget.where("target > 0").select("src_g", "dst_g", "target"))
     sym = wanted.select(F.col("src_g").alias("g"), F.col("dst_g").alias("h"), "target").unionAll(wanted.where("src_g <> dst_g").select("dst_g", "src_g", "target")).groupBy("g", "h").agg(F.sum("target").cast("double").alias("want"))
-    sym = checkpoint(sym)
-    ids = spark.range(communities).select(F.col("id").alias("community_id"))
-    done = None
+    sym, done = checkpoint(sym), None
     for b in range(batches):
         batch = people.where(F.col("_batch") == b)
         groups = batch.select(F.col("group_id").alias("g")).distinct()
-        pick_by = u(seed + 1, "node_id", "community_id")
+        if communities <= fresh:
+            new = groups.select("g", F.explode(F.sequence(F.lit(0), F.lit(communities - 1))).cast("long").alias("community_id"))
+        else:
+            drawn = groups.select("g", F.explode(F.sequence(F.lit(0), F.lit(fresh - 1))).alias("k"))
+            new = drawn.select("g", F.floor(u(seed + 1, F.lit(b), "g", "k") * communities).cast("long").alias("community_id")).distinct()
         if done is None:
-            cost = groups.crossJoin(ids).withColumn("cost", F.lit(0.0))  # groups by communities: the table of choices
+            choices = new.withColumn("cost", F.lit(0.0))
         else:
             comp = checkpoint(composition(done))
             size = comp.groupBy("community_id").agg(F.sum("n").alias("size"))
-            choice = groups.crossJoin(ids).join(size, "community_id", "left").where(F.coalesce("size", F.lit(0)) < limit)
             have = comp.select("community_id", F.col("group_id").alias("h"), F.col("n").cast("double").alias("n"))
             if mode == "probability":
                 share = have.join(size, "community_id").select("community_id", "h", (F.col("n") / F.col("size")).alias("share"))
-                row = sym.withColumn("ideal", F.col("want") / (F.sum("want").over(Window.partitionBy("g")) + 1e-5))
-                both = choice.select("g", "community_id").join(row.select("g", "h", "ideal"), "g").join(share, ["community_id", "h"], "full_outer").where("g is not null")
-                cost = both.groupBy("g", "community_id").agg(F.sqrt(F.sum(F.pow(F.coalesce("share", F.lit(0.0)) - F.coalesce("ideal", F.lit(0.0)), 2))).alias("cost"))
+                ideal = sym.join(groups, "g").withColumn("ideal", F.col("want") / (F.sum("want").over(Window.partitionBy("g")) + 1e-5))
+                met = ideal.join(share, "h").groupBy("g", "community_id").agg(F.sum(F.col("ideal") * F.col("share")).alias("told"))
             else:
-                acc = have.alias("a").join(comp.select("community_id", F.col("group_id").alias("g"), F.col("n").alias("m")), "community_id").groupBy("g", "h").agg(F.sum(F.col("n") * F.col("m")).alias("acc"))
-                lack = checkpoint(sym.join(acc, ["g", "h"], "left").select("g", "h", (F.col("want") - F.coalesce("acc", F.lit(0.0))).alias("lack")))
+                acc = have.join(comp.select("community_id", F.col("group_id").alias("g"), F.col("n").alias("m")), "community_id").groupBy("g", "h").agg(F.sum(F.col("n") * F.col("m")).alias("acc"))
+                lack = sym.join(groups, "g").join(acc, ["g", "h"], "left").select("g", "h", (F.col("want") - F.coalesce("acc", F.lit(0.0))).alias("lack"))
                 add = F.col("n") * F.when(F.col("g") == F.col("h"), 2.0).otherwise(1.0)
-                change = soft_cost(F.col("lack") - add) - soft_cost(F.col("lack"))
-                delta = choice.select("g", "community_id").join(lack, "g").join(have, ["community_id", "h"]).groupBy("g", "community_id").agg(F.sum(change).alias("delta"))
-                spread = F.greatest(F.max(F.abs("delta")).over(Window.partitionBy("g")), F.lit(1e-9))
-                cost = choice.select("g", "community_id").join(delta, ["g", "community_id"], "left").withColumn("delta", F.coalesce("delta", F.lit(0.0))).withColumn("cost", F.col("delta") / spread)
-        heat = 1.0 - b / batches
-        noise = F.lit(0.0) if heat <= 0.05 else -F.log(-F.log(F.greatest(pick_by, F.lit(1e-300))))
-        options = batch.join(cost.select(F.col("g").alias("group_id"), "community_id", "cost"), "group_id", "left").withColumn("community_id", F.coalesce("community_id", F.floor(u(seed + 2, "node_id") * communities)))
-        best = options.groupBy("node_id", "group_id").agg(F.min_by("community_id", F.struct(F.coalesce("cost", F.lit(0.0)) / max(heat, 1e-9) - noise, F.col("community_id"))).alias("community_id"))
-        new = best if done is None else done.unionByName(best)
-        done = checkpoint(new)
+                met = lack.join(have, "h").groupBy("g", "community_id").agg(F.sum(soft_cost(F.col("lack") - add) - soft_cost(F.col("lack"))).alias("told"))
+            both = met.unionAll(new.withColumn("told", F.lit(0.0))).groupBy("g", "community_id").agg(F.sum("told").alias("told"))
+            both = rank_within(both.withColumn("x", u(seed + 2, F.lit(b), "g", "community_id")), ["g"], "x", "community_id").where(F.col("rank") <= candidates)
+            known = both.join(size, "community_id", "left").withColumn("full", F.coalesce(F.col("size") >= limit, F.lit(False)))
+            # A group whose candidates are all full keeps them.
+            known = checkpoint(known.withColumn("none", F.min("full").over(Window.partitionBy("g"))).where("not full or none").select("g", "community_id", "told"))
+            if mode == "probability":
+                norm = share.groupBy("community_id").agg(F.sum(F.col("share") * F.col("share")).alias("nc"))
+                rows = ideal.groupBy("g").agg(F.sum(F.col("ideal") * F.col("ideal")).alias("ng"))
+                far = F.coalesce("nc", F.lit(0.0)) + F.coalesce("ng", F.lit(0.0)) - 2 * F.col("told")
+                choices = known.join(norm, "community_id", "left").join(rows, "g", "left").select("g", "community_id", F.sqrt(F.greatest(far, F.lit(0.0))).alias("cost"))
+            else:
+                widest = F.greatest(F.max(F.abs("told")).over(Window.partitionBy("g")), F.lit(1e-9))
+                choices = known.select("g", "community_id", (F.col("told") / widest).alias("cost"))
+        # Sharper than one, or costs within [-1, 1] would hardly tell.
+        placed = _deal(batch.select("node_id", "group_id"), choices, 0.5 * (1.0 - b / batches) ** 2, seed + 100 * (b + 1))
+        done = checkpoint(placed if done is None else done.unionByName(placed))
     return done
 
 
-def refine_by_swaps(membership: DataFrame, budget: DataFrame, rounds: int = 10, seed: int = 42, temperature: float = 0.0) -> DataFrame:
+def assign_by_size(nodes: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:
+    """Communities of given sizes (``rank, target``, from 1): people are dealt to them round robin over the groups.
+
+    People beyond the sizes' sum begin again at the first community; every community has a mix of groups.
+    """
+    from kinweave.operators.sensitivity import interleaved
+
+    upto = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)  # one row for each community
+    starts = checkpoint(targets.withColumn("start", F.coalesce(F.sum("target").over(upto), F.lit(0))))
+    slots = starts.where("target > 0").select((F.col("rank") - 1).cast("long").alias("community_id"), F.explode(F.expr("sequence(start, start + target - 1)")).alias("slot"))
+    room = starts.agg(F.sum("target")).first()[0] or 0
+    if not room:
+        raise ValueError("the communities have no room")
+    placed = interleaved(nodes.select("node_id", "group_id"), "group_id", "node_id", seed)
+    return placed.withColumn("slot", (F.col("place") - 1) % room).join(slots, "slot").select("node_id", "group_id", "community_id")
+
+
+def _over(x: Column, overshoot: float = 10.0) -> Column:
+    """The loss of a cell that is ``x`` above its target."""
+    return x * x * F.when(x > 0, overshoot).otherwise(1.0)
+
+
+def swap_deltas(swaps: DataFrame, matched: DataFrame, cells: DataFrame) -> DataFrame:
+    """``swap, delta``: the change of the loss by each swap alone, from the cells that it touches.
+
+    ``swaps``: ``swap, pair, a, b``, a person of group a leaving side 0 of the pair for side 1 and one of
+    group b coming back. ``matched``: ``pair, h, m``, people of group h on side 0 less those on side 1.
+    ``cells``: ``src_g, dst_g, x``, what each pair of groups has above its target; others have 0.
+    With d = -1 for a and 1 for b, a cell changes by d(g) m(h) + d(h) m(g) + 2 d(g) d(h).
+    """
+    cell = lambda g, h, v: F.struct(F.col(g).alias("src_g"), F.col(h).alias("dst_g"), v.cast("double").alias("v"))
+    m = F.col("m")
+    linear = swaps.join(matched, "pair").select("swap", F.explode(F.array(cell("a", "h", -m), cell("h", "a", -m), cell("b", "h", m), cell("h", "b", m))).alias("c"))
+    square = swaps.select("swap", F.explode(F.array(cell("a", "a", F.lit(2)), cell("b", "b", F.lit(2)), cell("a", "b", F.lit(-2)), cell("b", "a", F.lit(-2)))).alias("c"))
+    touched = linear.unionAll(square).groupBy("swap", "c.src_g", "c.dst_g").agg(F.sum("c.v").alias("v")).where("v <> 0")
+    x = F.coalesce("x", F.lit(0.0))
+    return touched.join(cells, ["src_g", "dst_g"], "left").groupBy("swap").agg(F.sum(_over(x + F.col("v")) - _over(x)).alias("delta"))
+
+
+def refine_by_swaps(membership: DataFrame, budget: DataFrame, rounds: int = 10, seed: int = 42, temperature: float = 0.0, proposals: int = 8, biased: float = 0.8) -> DataFrame:
     """Swap rounds that lower the loss between achieved and targeted pairs.
 
-    In a round communities are matched in random pairs; in each pair one person
-    of each side, of different groups, may change places. A round whose loss
-    is above the last by more than the temperature's chance allows is undone,
-    so the loss never rises at temperature 0.
+    In a round communities are matched in random pairs. Each pair proposes
+    ``proposals`` swaps of two people of different groups; in a share ``biased``
+    of them a person's chance grows with what the own group has above its
+    targets. Each swap's change of the loss is computed from the cells it
+    touches; the best of a pair is taken if it lowers the loss, or by the
+    temperature's chance, which falls to 0. Swaps of a round share cells: where
+    together they raise the loss, a half, a quarter, ... of them is taken
+    instead, so the loss never rises at temperature 0.
     """
     at = checkpoint(membership.select("node_id", "group_id", "community_id"))
-    loss = swap_loss(budget, at).first()["loss"] or 0.0
+    goal = checkpoint(budget.select("src_g", "dst_g", F.col("target").cast("double").alias("target")))
+
+    def above(at: DataFrame) -> DataFrame:
+        j = goal.join(achieved_pairs(at), ["src_g", "dst_g"], "full_outer")
+        return checkpoint(j.select("src_g", "dst_g", (F.coalesce("achieved", F.lit(0)).cast("double") - F.coalesce("target", F.lit(0.0))).alias("x")))
+
+    total = lambda cells: cells.agg(F.sum(_over(F.col("x")))).first()[0] or 0.0
+    cells = above(at)
+    loss = total(cells)
     for r in range(rounds):
-        ids = at.select("community_id").distinct()
-        order = ids.withColumn("rn", F.row_number().over(Window.orderBy(u(seed, F.lit(r), "community_id"), "community_id")) - 1)
-        pairs = order.select("community_id", F.floor(F.col("rn") / 2).alias("pair"), (F.col("rn") % 2).alias("side"))
-        drawn = at.join(F.broadcast(pairs), "community_id").groupBy("pair", "side").agg(F.min_by(F.struct("node_id", "group_id", "community_id"), F.struct(u(seed + 1, F.lit(r), "node_id"), F.col("node_id"))).alias("p"))
-        a, b = drawn.where("side = 0").select("pair", F.col("p").alias("a")), drawn.where("side = 1").select("pair", F.col("p").alias("b"))
-        swaps = a.join(b, "pair").where("a.group_id <> b.group_id")
-        moves = swaps.select(F.explode(F.array(F.struct(F.col("a.node_id").alias("node_id"), F.col("b.community_id").alias("to")), F.struct(F.col("b.node_id").alias("node_id"), F.col("a.community_id").alias("to")))).alias("m")).select("m.*")
-        new = checkpoint(at.join(moves, "node_id", "left").select("node_id", "group_id", F.coalesce("to", "community_id").alias("community_id")))
-        now = swap_loss(budget, new).first()["loss"] or 0.0
+        ids = at.select("community_id").distinct().withColumn("all", F.lit(0)).withColumn("x", u(seed, F.lit(r), "community_id"))
+        place = F.col("rank") - 1
+        pairs = checkpoint(rank_within(ids, ["all"], "x", "community_id").select("community_id", F.floor(place / 2).alias("pair"), (place % 2).alias("side")))
+        heavy = cells.groupBy(F.col("src_g").alias("group_id")).agg(F.sum(F.greatest("x", F.lit(0.0))).alias("w"))
+        people = at.join(pairs, "community_id").join(heavy, "group_id", "left").withColumn("cell", F.pmod(F.xxhash64(F.lit(seed + r), "node_id"), F.lit(proposals)))
+        weight = F.when(F.col("cell") < round(biased * proposals), F.coalesce("w", F.lit(0.0)) + 1e-9).otherwise(1.0)
+        race = -F.log(1 - u(seed + 1, F.lit(r), "node_id") + 1e-18) / weight
+        drawn = people.groupBy("pair", "cell", "side").agg(F.min_by(F.struct("node_id", "group_id", "community_id"), F.struct(race, F.col("node_id"))).alias("p"))
+        a, b = drawn.where("side = 0").select("pair", "cell", F.col("p").alias("p")), drawn.where("side = 1").select("pair", "cell", F.col("p").alias("q"))
+        met = a.join(b, ["pair", "cell"]).where("p.group_id <> q.group_id").select((F.col("pair") * proposals + F.col("cell")).alias("swap"), "pair", "p", "q", F.col("p.group_id").alias("a"), F.col("q.group_id").alias("b"))
+        met = checkpoint(met)
+        matched = composition(at).join(pairs, "community_id").groupBy("pair", F.col("group_id").alias("h")).agg(F.sum(F.when(F.col("side") == 0, F.col("n")).otherwise(-F.col("n"))).alias("m"))
+        deltas = swap_deltas(met.select("swap", "pair", "a", "b"), matched, cells)
         heat = temperature * (1 - r / rounds)
-        if now < loss or (heat > 0 and math.exp(-(now - loss) / heat) > _chance(seed, "accept", r)):
-            at, loss = new, now
+        wanted = F.col("delta") < (-heat * F.log(1 - u(seed + 2, F.lit(r), "swap") + 1e-18) if heat > 0 else F.lit(0.0))
+        best = met.join(deltas.where(wanted), "swap").groupBy("pair").agg(F.min_by(F.struct("p", "q"), F.struct("delta", "swap")).alias("s"))
+        best = checkpoint(best.select(F.col("s.p").alias("p"), F.col("s.q").alias("q"), u(seed + 3, F.lit(r), "pair").alias("turn")))
+        if best.isEmpty():
+            continue
+        for share in (1.0, 0.5, 0.25, 0.125, 0.0625):
+            taken = best.where(F.col("turn") < share)
+            move = lambda x, y: F.struct(F.col(f"{x}.node_id").alias("node_id"), F.col(f"{y}.community_id").alias("to"))
+            moves = taken.select(F.explode(F.array(move("p", "q"), move("q", "p"))).alias("m")).select("m.*")
+            new = checkpoint(at.join(moves, "node_id", "left").select("node_id", "group_id", F.coalesce("to", "community_id").alias("community_id")))
+            told = above(new)
+            now = total(told)
+            if now < loss or (heat > 0 and math.exp(-(now - loss) / heat) > _chance(seed, "accept", r)):
+                at, cells, loss = new, told, now
+                break
     return at
 
 
-def create_communities(nodes: DataFrame, pop: DataFrame, budget: DataFrame, attrs: list[str], communities: int, mode: str = "capacity", seed: int = 42, refine_rounds: int = 10) -> DataFrame:
-    """People with a community by a named strategy; an unknown name is an error."""
+def create_communities(nodes: DataFrame, pop: DataFrame, budget: DataFrame, attrs: list[str], communities: int, mode: str = "capacity", seed: int = 42, refine_rounds: int = 10, sizes: str | list[float] | None = None) -> DataFrame:
+    """People with a community by a named strategy; an unknown name is an error.
+
+    ``sizes``: a law or shares of the communities' sizes, for the capacity strategies: people are dealt to
+    such sizes first, and swaps keep them.
+    """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode}; known are {sorted(MODES)}")
     _positive(communities)
@@ -445,5 +551,8 @@ def create_communities(nodes: DataFrame, pop: DataFrame, budget: DataFrame, attr
         return assign_segregation(nodes, pop, budget, attrs, communities, seed=seed)
     if kind == "probability":
         return assign_annealed(nodes, budget, communities, "probability", seed=seed)
+    if sizes is not None:
+        out = assign_by_size(nodes, size_targets(nodes.agg(F.count("*").alias("n")), communities, sizes, sizes != "normal", seed), seed)
+        return refine_by_swaps(out, budget, refine_rounds, seed) if refine_rounds else out
     out = assign_fast(nodes, communities, seed) if kind == "capacity_fast" else assign_annealed(nodes, budget, communities, seed=seed)
     return refine_by_swaps(out, budget, refine_rounds, seed) if refine_rounds else out

@@ -36,12 +36,12 @@ def seed_neighbors(nodes: DataFrame, edges: DataFrame, sims: int, k: int | None,
 def spread(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, thresholds: list[float], fractional: bool, max_steps: int = 10_000) -> DataFrame:
     """``threshold, sim, node_id, step``: when each node adopted (seeds at 0); others have no row.
 
-    A node listens to its out-neighbours. It adopts when their infected weight
+    Repeated links, or a column ``w``, are weights. A node listens to its out-neighbours. It adopts when their infected weight
     is at least the threshold, or, if ``fractional``, when that weight over its
     out-weight is. Only new adopters are joined; counts of earlier ones are kept.
     """
     spark = edges.sparkSession
-    weighted = edges.groupBy("src", "dst").agg(F.count("*").alias("w"))
+    weighted = edges.groupBy("src", "dst").agg((F.sum("w") if "w" in edges.columns else F.count("*")).alias("w"))
     degree = weighted.groupBy("src").agg(F.sum("w").alias("degree"))
     links = checkpoint(weighted.join(degree, "src").select("src", "dst", "w", "degree"))
     taus = spark.createDataFrame([(float(t),) for t in thresholds], "threshold double")

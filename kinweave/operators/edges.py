@@ -95,10 +95,13 @@ def heavier_pool(targets: DataFrame, ranks: DataFrame, new: DataFrame, membershi
     again = lucky.join(home, "node_id")
     sizes = ranks.groupBy("community_id", "group_id").agg(F.first("n").alias("n"))
     other = again.join(sizes, ["community_id", "group_id"]).select("community_id", "group_id", F.floor(F.col("r") * F.col("n")).alias("pos")).join(ranks.select("community_id", "group_id", "pos", "node_id"), ["community_id", "group_id", "pos"])
-    more = again.select("community_id", "group_id", "node_id").unionByName(other.select("community_id", "group_id", "node_id"))
-    every = targets.select("community_id", "group_id", "node_id").withColumn("k", F.monotonically_increasing_id()).unionByName(more.withColumn("k", F.monotonically_increasing_id()))
+    slot = ["community_id", "group_id", "node_id"]
+    more = again.select(*slot).unionByName(other.select(*slot))
+    # Copies of a node are numbered, not keyed by where they lie: draws do not depend on partitions.
+    copies = targets.select(*slot).unionByName(more).groupBy(*slot).agg(F.count("*").alias("k"))
+    every = copies.select(*slot, F.explode(F.sequence(F.lit(1), F.col("k").cast("int"))).alias("k"))
     every = checkpoint(every)
-    ranked = rank_within(every.withColumn("x", u(902 + round_, "node_id", "k")), ["community_id", "group_id"], "x", "k")
+    ranked = rank_within(every.withColumn("x", u(902 + round_, "node_id", "k")).withColumn("key", F.struct("node_id", "k")), ["community_id", "group_id"], "x", "key")
     sizes = every.groupBy("community_id", "group_id").agg(F.count("*").alias("n"))
     return checkpoint(ranked.join(sizes, ["community_id", "group_id"]).select("community_id", "group_id", "node_id", (F.col("rank") - 1).alias("pos"), "n"))
 

@@ -10,6 +10,9 @@ from kinweave.operators.components import connected_components
 from kinweave.operators.metrics import both_ways, simple_edges, undirected, weighted_modularity
 from kinweave.scratch import checkpoint
 
+#: Rows of two numbers that are broadcast at most; 16 MB of them.
+BROADCAST_ROWS = 1_000_000
+
 
 def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node_id, component``: the smallest node reachable; isolates are their own."""
@@ -25,24 +28,32 @@ def component_summary(labels: DataFrame) -> DataFrame:
     return out.select("components", F.col("b.component").alias("largest"), F.col("b.size").alias("largest_size"), (F.col("b.size") / F.col("n")).alias("largest_fraction"), (F.col("components") == 1).alias("connected"))
 
 
-def coreness(nodes: DataFrame, edges: DataFrame, max_rounds: int = 500) -> DataFrame:
+def coreness(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """``node_id, core`` over total degrees (a mutual pair counts twice).
 
     Every node's estimate falls to the h-index of its neighbours' estimates
-    until nothing changes; the fixed point is the core number.
+    until nothing changes; the fixed point is the core number. A round looks only
+    at nodes with a neighbour that fell to below their own estimate.
     """
     links = checkpoint(both_ways(simple_edges(edges)))
     est = checkpoint(links.groupBy("node").agg(F.count("*").alias("c")))
+    near = links.join(est.withColumnRenamed("node", "other").withColumnRenamed("c", "oc"), "other").join(est, "node")
     for _ in range(max_rounds):
         # Values above a node's own estimate can't raise it: cutting them there keeps the histogram short.
-        near = links.join(est.withColumnRenamed("node", "other").withColumnRenamed("c", "oc"), "other").join(est, "node")
-        hist = near.groupBy("node", F.least("oc", "c").alias("v")).agg(F.count("*").alias("k"))
+        hist = near.groupBy("node", F.least("oc", "c").alias("v")).agg(F.count("*").alias("k"), F.first("c").alias("c"))
         upto = Window.partitionBy("node").orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, 0)
-        new = checkpoint(hist.select("node", F.least("v", F.sum("k").over(upto)).alias("h")).groupBy("node").agg(F.max("h").alias("c")))
-        same = new.join(est.withColumnRenamed("c", "old"), "node").where("c <> old").isEmpty()
-        est = new
-        if same:
+        low = hist.select("node", "c", F.least("v", F.sum("k").over(upto)).alias("h")).groupBy("node").agg(F.max("h").alias("new"), F.first("c").alias("c"))
+        fell = checkpoint(low.where("new < c").select("node", "new"))
+        some = fell.count()
+        if not some:
             break
+        fallen = F.broadcast(fell) if some <= BROADCAST_ROWS else fell
+        est = checkpoint(est.join(fallen, "node", "left").select("node", F.coalesce("new", "c").alias("c")))
+        touched = links.join(fallen.select(F.col("node").alias("other"), "new"), "other").join(est, "node").where("new < c").select("node").distinct()
+        rows = links.join(touched, "node", "left_semi")
+        near = rows.join(est.withColumnRenamed("node", "other").withColumnRenamed("c", "oc"), "other").join(est, "node")
+    else:
+        raise RuntimeError(f"core numbers did not settle in {max_rounds} rounds")
     return nodes.select("node_id").join(est, F.col("node_id") == F.col("node"), "left").select("node_id", F.coalesce("c", F.lit(0)).cast("long").alias("core"))
 
 
@@ -82,6 +93,8 @@ def bfs(edges: DataFrame, start: int, directed: bool = False, max_depth: int = 1
         if frontier.isEmpty():
             break
         seen = checkpoint(seen.unionAll(frontier))
+    else:
+        raise RuntimeError(f"nodes are more than {max_depth} links away")
     return seen
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kinweave.functions.ranking import dense_ids
 from kinweave.functions.stats import eight_numbers
 
 
@@ -16,8 +17,7 @@ def simple_edges(edges: DataFrame) -> DataFrame:
 
 def compact(edges: DataFrame) -> DataFrame:
     """Edges over dense ids 0..k-1 in the order of the old ids; isolates vanish."""
-    ends = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
-    ids = ends.select("id", (F.row_number().over(Window.orderBy("id")) - 1).cast("long").alias("new"))
+    ids = dense_ids(edges.select(F.col("src").alias("id")).union(edges.select("dst")), "id", "new")
     s, d = ids.select(F.col("id").alias("src"), F.col("new").alias("s")), ids.select(F.col("id").alias("dst"), F.col("new").alias("d"))
     return edges.join(s, "src").join(d, "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"))
 

@@ -90,6 +90,34 @@ def pawn_bootstrap(pairs: DataFrame, replicates: int = 200, seed: int = 0, **how
     return each.groupBy(*keys).agg(q[0].alias("ci_lo"), q[1].alias("ci_hi"))
 
 
+def numeric_columns(rows: DataFrame, without: set[str] = frozenset()) -> list[str]:
+    """Names of number columns (not booleans) outside ``without``, in their order."""
+    from pyspark.sql.types import NumericType
+
+    return [f.name for f in rows.schema.fields if isinstance(f.dataType, NumericType) and f.name not in without]
+
+
+def mean_index(indices: DataFrame) -> DataFrame:
+    """``label, input, mean``: a label's mean index of each input over its outputs, NaN left out; null where all are."""
+    return indices.groupBy("label", "input").agg(F.avg(F.nanvl("index", F.lit(None).cast("double"))).alias("mean"))
+
+
+def first_known(*columns: str) -> Column:
+    """The first of several columns that is neither null nor NaN."""
+    return F.coalesce(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns])
+
+
+def interleaved(rows: DataFrame, by: str, key: str, seed: int = 42) -> DataFrame:
+    """``place``: round robin over the groups ``by``: everyone's place in a random order of the own group, then the group."""
+    turns = rank_within(rows.withColumn("_u", u(seed, key)), [by], "_u", key, "turn").drop("_u")
+    # One row for each turn: as many as the largest group has members.
+    sizes = turns.groupBy("turn").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("turn", F.coalesce(before, F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("turn").orderBy(by))
+    return turns.withColumn("_rn", own).join(starts, "turn").withColumn("place", F.col("_start") + F.col("_rn")).drop("_rn", "_start", "turn")
+
+
 def top_indices(indices: DataFrame, k: int, by: str | None = "label") -> DataFrame:
     """The k largest indices, overall or for each label (NaN last)."""
     known = indices.where(~F.isnan("index"))

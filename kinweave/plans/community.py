@@ -65,6 +65,14 @@ def full_creation(s, d):
     return E.create_edges(nodes, budget(s, d), m, K, attachment=0.3, reciprocity=0.2, transitivity=0.1, bridge=0.1)
 
 
+def separated_sql(count: int) -> str:
+    """A chain of picks, each the group least linked to those before."""
+    parts = [", ww AS (SELECT src_g AS a, dst_g AS b, target AS n FROM budget UNION ALL SELECT dst_g, src_g, target FROM budget), s0 AS (SELECT 0::bigint AS place, group_id FROM pop LEFT JOIN (SELECT a, sum(n) AS t FROM ww GROUP BY a) ON a = group_id ORDER BY coalesce(t, 0), group_id LIMIT 1)"]
+    for i in range(1, count):
+        parts.append(f", s{i} AS MATERIALIZED (SELECT * FROM s{i - 1} UNION ALL (SELECT {i}::bigint, group_id FROM pop LEFT JOIN (SELECT b, sum(n) AS t FROM ww WHERE a IN (SELECT group_id FROM s{i - 1}) GROUP BY b) ON b = group_id WHERE group_id NOT IN (SELECT group_id FROM s{i - 1}) ORDER BY coalesce(t, 0), group_id LIMIT 1))")
+    return "".join(parts) + f" SELECT * FROM s{count - 1}"
+
+
 QUERIES = {
     "shared_communities": lambda s, d: C.shared_communities(budget(s, d), X.membership(s, d)),
     "community_sizes": lambda s, d: C.community_sizes(X.membership(s, d)),
@@ -115,6 +123,7 @@ ac AS (SELECT src, dst, src_g, dst_g FROM (SELECT pr.*, target, row_number() OVE
 """
 
 ORACLE_SQL = {
+    "separated_groups_order": f"{V}{B}{separated_sql(10)}",
     "shared_communities": f"{V}{B} SELECT DISTINCT src_g, dst_g, s.community_id FROM budget JOIN comp s ON s.group_id = src_g JOIN comp d ON d.group_id = dst_g AND d.community_id = s.community_id",
     "community_sizes": f"{V} SELECT community_id, count(*) AS size FROM membership GROUP BY 1",
     "community_size_stats": f"{V}, z AS (SELECT count(*)::double AS size FROM membership GROUP BY community_id) SELECT max(size) AS max, min(size) AS min, round(avg(size), 6) AS mean, median(size) AS median, round(stddev_pop(size), 6) AS std, quantile_cont(size, 0.25) AS q1, quantile_cont(size, 0.75) AS q3 FROM z",

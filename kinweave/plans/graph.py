@@ -12,7 +12,7 @@ from kinweave.operators import metrics as M
 from kinweave.sources import fixtures as X
 
 V = X.VIEWS_SQL
-LPA_ROUNDS, PR_ROUNDS, CORE_ROUNDS, SIMS, SEEDS = 5, 20, 60, 4, 12
+LPA_ROUNDS, PR_ROUNDS, CORE_ROUNDS, SIMS, SEEDS = 5, 20, 60, 20, 12
 ABSOLUTE, FRACTIONAL = [1.0, 2.0], [0.05, 0.175, 0.3]
 
 
@@ -103,6 +103,10 @@ START = "(SELECT min(src) FROM edges)"
 BFS = f"""{BOTH}, bf(v, dist) USING KEY (v) AS (
 SELECT {START}, 0 UNION SELECT DISTINCT ON (bw.o) bw.o, bf.dist + 1 FROM bf JOIN bw ON bw.v = bf.v WHERE bw.o NOT IN (SELECT v FROM recurring.bf))
 """
+FAR = f"""{BFS}, far AS (SELECT v FROM bf ORDER BY dist DESC, v LIMIT 1), bg(v, dist) USING KEY (v) AS (
+SELECT v, 0 FROM far UNION SELECT DISTINCT ON (bw.o) bw.o, bg.dist + 1 FROM bg JOIN bw ON bw.v = bg.v WHERE bw.o NOT IN (SELECT v FROM recurring.bg))
+"""
+REACH = ", reach(a, b) AS (SELECT src, dst FROM edges UNION SELECT reach.a, e.dst FROM reach JOIN edges e ON e.src = reach.b)"
 CC = f"""{BOTH}, cc(v, comp) USING KEY (v) AS (
 SELECT node_id, node_id FROM nodes UNION
 SELECT p.v, min(i.comp) FROM recurring.cc p JOIN bw ON bw.v = p.v JOIN cc i ON i.v = bw.o WHERE i.comp < p.comp GROUP BY p.v)
@@ -178,6 +182,9 @@ ORACLE_SQL = {
     "kcore": f"{V}{core_sql(CORE_ROUNDS)}",
     "pagerank_20": f"{V}{pagerank_sql(PR_ROUNDS)}",
     "bfs_distance": f"{V}{BFS} SELECT v AS node_id, dist AS distance FROM bf",
+    "double_sweep_diameter": f"{V}{FAR} SELECT (SELECT v FROM far) AS from_node, v AS to_node, dist::bigint AS diameter FROM bg ORDER BY dist DESC, v LIMIT 1",
+    "bfs_subgraph": f"{V}{BFS}, near AS (SELECT v FROM bf ORDER BY dist, v LIMIT 200) SELECT src, dst FROM edges WHERE src IN (SELECT v FROM near) AND dst IN (SELECT v FROM near)",
+    "strong_components": f"{V}{REACH}, mutual AS (SELECT a, min(b) AS low FROM reach x WHERE EXISTS (SELECT 1 FROM reach y WHERE y.a = x.b AND y.b = x.a) GROUP BY a) SELECT node_id, least(node_id, coalesce(low, node_id)) AS component FROM nodes LEFT JOIN mutual ON a = node_id",
     "label_propagation_5": f"{V}{UND}{lpa_sql(LPA_ROUNDS)}",
     "modularity_of_partition": f"{V}{UND}, lc AS (SELECT s.community_id AS x, t.community_id AS y FROM und JOIN membership s ON s.node_id = a JOIN membership t ON t.node_id = b), dd AS (SELECT c, count(*) AS d FROM (SELECT x AS c FROM lc UNION ALL SELECT y FROM lc) GROUP BY c), ii AS (SELECT x AS c, count(*) AS i FROM lc WHERE x = y GROUP BY x), mm AS (SELECT count(*)::double AS m FROM lc) SELECT round(sum(coalesce(i, 0) / m - pow(d / (2 * m), 2)), 9) AS modularity, count(*) AS communities FROM dd LEFT JOIN ii USING (c), mm",
     "mixing_matrix": f"{V}{LBL} SELECT gs AS l_src, gd AS l_dst, count(*) AS links, round(count(*) / sum(count(*)) OVER (PARTITION BY gs)::double, 6) AS share FROM le GROUP BY gs, gd",

@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 
 from kinweave.functions.hashing import u_sql
 from kinweave.functions.stats import rounded
+from kinweave.calibrate import best_row, evaluation
 from kinweave.operators import metrics as M
 from kinweave.operators import sensitivity as S
-from kinweave.plans.graph import DEG, LBL, degree
+from kinweave.operators.contagion import seed_random
+from kinweave.plans.graph import DEG, LBL, UND, degree
 from kinweave.sources import fixtures as X
 from kinweave.sources.readers import error_records
 
-INPUTS, OUTPUT, SLICES, REPLICATES = ["l_quantity", "l_discount"], "l_extendedprice", 10, 5
+INPUTS, OUTPUT, SLICES, REPLICATES = ["l_quantity", "l_discount"], "l_extendedprice", 10, 200
 BOUNDS = {"n_communities": (1, 35000), "transitivity": (0.0, 1.0)}
 AXES = {"n_communities": [1, 33, 1063, 35000], "attachment": [0.0, 1.0], "transitivity": [0.0, 1.0]}
 TARGETS = {"transitivity": 0.4941, "modularity": 0.8774, "skew": 7.0774}
@@ -35,9 +37,17 @@ def mixing(s, d, even):
 
 
 def losses(s, d):
-    e, n = X.edges(s, d), X.nodes(s, d)
-    one = M.global_clustering(e).select(F.col("transitivity").alias("t")).crossJoin(M.modularity(e, X.membership(s, d), "community_id").select(F.col("modularity").alias("m"))).crossJoin(M.degrees(n, e).agg(F.skewness("degree").alias("k")))
-    return one.select("t", "m", "k", S.metric_loss({"transitivity": F.col("t"), "modularity": F.col("m"), "skew": F.col("k")}, TARGETS).alias("loss"))
+    m = X.membership(s, d)
+    return evaluation(X.nodes(s, d), X.edges(s, d), m, TARGETS)
+
+
+def worked(s, d):
+    """Grid results: the loss of every customer's total against a target, as a table of points."""
+    return X.table(s, d, "orders").groupBy((F.col("o_custkey") % 7).alias("a"), F.year("o_orderdate").cast("long").alias("b")).agg(F.avg(F.col("o_totalprice").cast("double")).alias("m")).select("a", "b", F.round(F.pow((F.col("m") - 150000.0) / 150000.0, 2), 9).alias("loss"))
+
+
+def halves(s, d):
+    return X.table(s, d, "lineitem").groupBy((F.col("l_partkey") % 50).alias("k")).agg(F.sum("l_linenumber").alias("t")).select("k", F.bround(F.col("t") / 2.0, 0).cast("long").alias("even"))
 
 
 def composite(s, d):
@@ -78,6 +88,12 @@ QUERIES = {
     "composite_loss": lambda s, d: rounded(composite(s, d)),
     "latin_hypercube": lambda s, d: rounded(S.latin_hypercube(s, 250, BOUNDS), 9),
     "grid_points": lambda s, d: S.grid(s, AXES),
+    "pawn_mean_by_input": lambda s, d: rounded(S.mean_index(S.pawn(pairs(s, d, "l_returnflag"), SLICES, edge_digits=9))),
+    "best_grid_row": lambda s, d: best_row(worked(s, d)),
+    "round_half_even": halves,
+    "interleaved_people": lambda s, d: S.interleaved(X.nodes(s, d), "group_id", "node_id", 11).select("node_id", "group_id", F.col("place").cast("long").alias("place")),
+    "numeric_columns": lambda s, d: s.createDataFrame([(i, c) for i, c in enumerate(S.numeric_columns(X.table(s, d, "lineitem"), {"l_orderkey"}))], "place long, name string"),
+    "people_without_seeds": lambda s, d: X.nodes(s, d).join(seed_random(X.nodes(s, d), 1, 40, 5), "node_id", "left_anti").select("node_id"),
     "sensitivity_aggregate": aggregate,
     "error_records": records,
 }
@@ -126,6 +142,13 @@ ORACLE_SQL = {
     "pawn_by_label": f'{BY} SELECT label, input, output, round("index", 6) AS "index" FROM ix',
     "pawn_top3": f'{BY} SELECT * FROM (SELECT label, input, output, round("index", 6) AS "index", row_number() OVER (PARTITION BY label ORDER BY "index" DESC, input, output) AS place FROM ix) WHERE place <= 3',
     "pawn_bootstrap": f"""{pawn_sql(BOOT, "label, input, output, rep")} SELECT label, input, output, round(quantile_cont("index", 0.025), 6) AS ci_lo, round(quantile_cont("index", 0.975), 6) AS ci_hi FROM ix GROUP BY ALL""",
+    "pawn_mean_by_input": f'{BY} SELECT label, input, round(avg("index"), 6) AS mean FROM ix GROUP BY label, input',
+    "best_grid_row": "SELECT * FROM (SELECT o_custkey % 7 AS a, year(o_orderdate)::bigint AS b, round(pow((avg(o_totalprice::double) - 150000.0::double) / 150000.0::double, 2), 9) AS loss FROM orders GROUP BY 1, 2) ORDER BY loss, a, b LIMIT 1",
+    "round_half_even": "SELECT l_partkey % 50 AS k, round_even(sum(l_linenumber) / 2.0::double, 0)::bigint AS even FROM lineitem GROUP BY 1",
+    "interleaved_people": f"{V}, tn AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY {u_sql(11, 'node_id')}, node_id) AS turn FROM nodes) SELECT node_id, group_id, row_number() OVER (ORDER BY turn, group_id) AS place FROM tn",
+    "numeric_columns": "SELECT row_number() OVER (ORDER BY column_index) - 1 AS place, column_name AS name FROM duckdb_columns() WHERE table_name = 'lineitem' AND column_name <> 'l_orderkey' AND regexp_matches(data_type, '^(TINYINT|SMALLINT|INTEGER|BIGINT|HUGEINT|FLOAT|DOUBLE|DECIMAL.*)$')",
+    "people_without_seeds": f"{V} SELECT node_id FROM nodes WHERE node_id NOT IN (SELECT node_id FROM nodes ORDER BY {u_sql(5, '0', 'node_id')}, node_id LIMIT 40)",
+    "loss_metrics": f"{V}{DEG}{UND}, lc AS (SELECT s.community_id AS x, t.community_id AS y FROM und JOIN membership s ON s.node_id = a JOIN membership t ON t.node_id = b), dd AS (SELECT c, count(*) AS d FROM (SELECT x AS c FROM lc UNION ALL SELECT y FROM lc) GROUP BY c), ii AS (SELECT x AS c, count(*) AS i FROM lc WHERE x = y GROUP BY x), mm AS (SELECT count(*)::double AS m FROM lc), mo AS (SELECT sum(coalesce(i, 0) / m - pow(d / (2 * m), 2)) AS q FROM dd LEFT JOIN ii USING (c), mm), tr AS (SELECT 3.0::double * (SELECT count(*) FROM tri) / (SELECT sum(k * (k - 1) // 2) FROM kk)::double AS t), sk AS (SELECT avg(pow(degree - mu, 3)) / pow(var_pop(degree), 1.5) AS g FROM deg, (SELECT avg(degree) AS mu FROM deg)) SELECT round(t, 6) AS transitivity, round(q, 6) AS modularity, round(g, 6) AS skew, round(pow((t - 0.4941) / 0.4941, 2) + pow((q - 0.8774) / 0.8774, 2) + pow((g - 7.0774) / 7.0774, 2), 6) AS loss FROM tr, mo, sk",
     "composite_loss": f"{MIX}{DEG}{EVEN}, {_ks('SELECT degree AS v FROM deg', 'SELECT degree AS v FROM deg2')}, sa AS (SELECT avg(degree) AS m, stddev_pop(degree) AS s FROM deg), sb AS (SELECT avg(degree) AS m, stddev_pop(degree) AS s FROM deg2) SELECT round(pow((sa.m - sb.m) / sb.m, 2) + pow((sa.s - sb.s) / sb.s, 2) + 1.5 * f + ks, 6) AS loss FROM sa, sb, fr, kk2",
     "latin_hypercube": f"WITH s AS (SELECT unnest(range(250)) AS sample_id), r AS (SELECT sample_id, row_number() OVER (ORDER BY {u_sql(42, 'sample_id')}, sample_id) - 1 AS a, row_number() OVER (ORDER BY {u_sql(52, 'sample_id')}, sample_id) - 1 AS b FROM s) SELECT sample_id, round(1.0::double + 34999.0::double * (a + {u_sql(43, 'sample_id')}) / 250, 9) AS n_communities, round(0.0::double + 1.0::double * (b + {u_sql(53, 'sample_id')}) / 250, 9) AS transitivity FROM r",
     "grid_points": "SELECT n_communities::bigint AS n_communities, attachment::double AS attachment, transitivity::double AS transitivity FROM (SELECT unnest([1, 33, 1063, 35000]) AS n_communities) CROSS JOIN (SELECT unnest([0.0, 1.0]) AS attachment) CROSS JOIN (SELECT unnest([0.0, 1.0]) AS transitivity)",

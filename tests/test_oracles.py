@@ -8,7 +8,6 @@ import pytest
 from kinweave.plans.registry import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
-SLOW = {"edge_creation", "louvain", "strong_components", "double_sweep_diameter", "bfs_subgraph"} | {q for q in QUERIES if q.startswith("assign_")}
 
 
 @pytest.fixture(scope="module")
