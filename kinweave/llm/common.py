@@ -27,11 +27,19 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Settings of a session that gives none of its own: rows and bytes of a batch of whole texts.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": (None, str(16 << 20))}
+
+
 def small_batches(df: DataFrame) -> DataFrame:
-    """Have rows with whole texts handed to Python in batches of bounded size, unless the session sets its own."""
+    """Have rows with whole texts handed to Python in batches of bounded rows and bytes.
+
+    A plan is run after this returns, so the session keeps the settings; ones that it has got itself stay.
+    """
     conf = df.sparkSession.conf
-    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    for name, (plain, own) in BATCH.items():
+        if conf.get(name, plain) in (plain, str((1 << 31) - 1), "2147483647b"):
+            conf.set(name, own)
     return df
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from kinweave.llm.common import batched, ship
 from kinweave.llm.simhash import shingle_set
-from kinweave.scratch import materialize
+from kinweave.scratch import materialize, scope
 
 ship(__name__)
 
@@ -173,9 +173,18 @@ def family_links(members: DataFrame, texts: DataFrame, shingle: int, least: floa
     """
     c, links = (1 - least) / (1 + least), []
     texts = texts.withColumnRenamed("row", "id")
-    none = lambda kind: F.lit(None).cast(kind)
     while True:
-        members = materialize(members, "family-members")
+        found, wide = _one_outline(materialize(members, "family-members"), texts, shingle, least, c, group_rows, depth <= 0)
+        links.append(found)
+        if wide is None or wide.isEmpty():
+            return reduce(DataFrame.unionAll, links).distinct()
+        members, depth = wide, depth - 1
+
+
+def _one_outline(members: DataFrame, texts: DataFrame, shingle: int, least: float, c: float, group_rows: int, last: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Links of the families' members, and families (``family, id``) that are left to look at."""
+    none = lambda kind: F.lit(None).cast(kind)
+    with scope(members.sparkSession) as keep:
         sizes = few_rows(members.groupBy("family").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts")))
         picked = members.groupBy("family", F.pmod(F.xxhash64("id", "family"), F.lit(SAMPLE)).alias("cell")).agg(F.min("id").alias("id"))
         outlines = materialize(picked.join(texts, "id").groupBy("family").applyInArrow(_outline(shingle), "family long, common array<long>, weight array<int>"), "outlines")
@@ -193,7 +202,7 @@ def family_links(members: DataFrame, texts: DataFrame, shingle: int, least: floa
         both = F.size(F.array_intersect("diff", "own"))
         tested = salted.join(pivots, ["family", "salt"]).select("family", "id", "size", "slack", "diff", "center", "top", (F.col("slack") + F.col("top") + 2 * both >= -EPS).alias("near"))
         tested = materialize(tested, "near-pivot")
-        links.append(tested.where("near and id <> center").select("center", "id"))
+        starred = tested.where("near and id <> center").select("center", "id")
         reach = tested.where("not near").groupBy("family").agg(F.max("slack").alias("reach"))
         rows = _prefixes(tested.join(few_rows(reach), "family"), c, least)
         met = materialize(_meetings(rows), "meetings")
@@ -203,7 +212,6 @@ def family_links(members: DataFrame, texts: DataFrame, shingle: int, least: floa
         groups = materialize(groups.select("family", "element", "k"), "groups")
         inner = met.join(few_rows(groups), ["family", "element"]).select("family", F.xxhash64("family", "element").alias("part"), "id", "k")
         inner = materialize(inner, "grouped")
-        last = depth <= 0
         parts = inner.where(F.col("k") <= group_rows).select("part", "family", "id")
         wide = inner.where(F.col("k") > group_rows).select(F.col("part").alias("family"), "id")
         if last:
@@ -212,8 +220,6 @@ def family_links(members: DataFrame, texts: DataFrame, shingle: int, least: floa
             back = again.select(F.col("part").alias("fam"), "family", "id")
             parts = parts.unionAll(blocks.withColumnRenamed("family", "fam").join(back, ["fam", "id"]).select("part", "family", "id"))
         slim = tested.select("family", "id", "slack", "diff", "near")
-        links.append(parts.join(slim, ["family", "id"]).groupBy("part").applyInArrow(_linker, LINK))
-        links = [materialize(reduce(DataFrame.unionAll, links).distinct(), "family-links")]
-        if last or wide.isEmpty():
-            return links[0]
-        members, depth = wide, depth - 1
+        inside = parts.join(slim, ["family", "id"]).groupBy("part").applyInArrow(_linker, LINK)
+        found = keep(materialize(starred.unionAll(inside).distinct(), "family-links"))
+        return found, None if last else keep(materialize(wide, "families-again"))

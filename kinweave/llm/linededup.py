@@ -30,9 +30,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from kinweave.llm.common import free_name, let, table
-from kinweave.scratch import materialize
+from kinweave.scratch import materialize, scope
 
 MIN_DOCS, DEPTH, CONSTANT, SIMILARITY, PASSAGE_TOKENS, ALIKE = 3, 4, 0.7, 0.6, 8, 0.7
 #: Levels of the tree below the leading tokens, each a split by the telling position of a group.
@@ -141,12 +142,6 @@ def recurring(lines: DataFrame, sketches: DataFrame, min_docs: int, passage_toke
     return out.select("t", F.when(~everywhere, F.col("first")).alias("first"))
 
 
-def _open(own: DataFrame, min_docs: int) -> DataFrame:
-    """Lines of the groups that have two lines and could be met in ``min_docs`` documents."""
-    sums = own.groupBy("part").agg(F.count("*").alias("k"), F.sum("families").alias("f"))
-    return own.join(sums.where((F.col("k") > 1) & (F.col("f") >= min_docs)).select("part"), "part", "left_semi")
-
-
 def _generalised(docs: DataFrame, lines: DataFrame, sketches: DataFrame, dropped: DataFrame, min_docs: int, constant: float, similarity: float, alike: float) -> DataFrame:
     """``t`` of lines that fit a template generalised in their leaf, where that template recurs."""
     rest = lines.join(dropped.where("first is null").select("t"), "t", "left_anti")
@@ -162,28 +157,29 @@ def _generalised(docs: DataFrame, lines: DataFrame, sketches: DataFrame, dropped
     text = docs.select(F.explode(F.array_distinct(templates(F.col("text")))).alias("line")).where("line <> ''")
     text = text.withColumn("t", F.xxhash64("line")).join(wanted, "t", "left_semi").groupBy("t").agg(F.first("line").alias("line"))
     own = kinds.join(text, "t").select("t", "n", "families", F.col("leaf").alias("part"), F.split("line", " ").alias("words"))
-    own, shared = materialize(_open(own, min_docs), "leaf-lines"), None
+    shared = None
     for _ in range(LEAF_LEVELS):
-        if own.isEmpty():
-            break
-        tokens = own.select("part", "t", F.posexplode("words").alias("pos", "token"))
-        counts = tokens.groupBy("part", "pos", "token").count()
-        best = counts.groupBy("part", "pos").agg(F.max(F.struct("count", "token")).alias("b"), F.sum("count").alias("all"))
+        counts = own.select("part", "families", F.posexplode("words").alias("pos", "token")).groupBy("part", "pos", "token").agg(F.count("*").alias("count"), F.sum("families").alias("f"))
+        best = counts.groupBy("part", "pos").agg(F.max(F.struct("count", "token")).alias("b"), F.sum("count").alias("all"), F.sum("f").alias("f"))
         share = F.col("b.count") / F.col("all")
         # Held positions with their tokens; the position to split by: a variable one if any, of most frequent token, then the first.
         told = best.groupBy("part").agg(
             F.map_from_entries(F.collect_list(F.when(share >= constant, F.struct("pos", "b.token")))).alias("held"),
             F.max(F.when(share < 1, F.struct((share < constant).alias("variable"), share.alias("share"), (-F.col("pos")).alias("pos")))).alias("split"),
-        )
+            F.max("all").alias("lines"), F.max("f").alias("f"),
+        )
+        # Groups end that have one line or can't be met in ``min_docs`` documents.
+        told = told.where((F.col("lines") > 1) & (F.col("f") >= min_docs)).drop("lines", "f")
         n, fits = F.size("held"), F.forall(F.map_entries("held"), lambda e: F.get(F.col("words"), e["key"]) == e["value"])
-        step = own.join(told, "part").withColumn("fits", (n >= similarity * F.col("n")) & fits)
-        step = materialize(step.select(*own.columns, "fits", (-F.col("split.pos")).alias("at")), "leaf-groups")
+        step = own.join(told, "part").withColumn("fits", (n >= similarity * F.col("n")) & fits).withColumn("lost", F.max("fits").over(Window.partitionBy("part")))
+        step = materialize(step.select(*own.columns, "fits", "lost", (-F.col("split.pos")).alias("at")), "leaf-groups")
+        if step.isEmpty():
+            break
         fit = step.where("fits").select("t", F.col("part").alias("leaf"))
         shared = fit if shared is None else shared.unionAll(fit)
-        # A group loses its fitting lines; one that none fits has a position to split by: it ends.
-        left = step.where("not fits").join(_few(fit.select(F.col("leaf").alias("part"), F.lit(True).alias("lost")).distinct()), "part", "left")
+        # A group loses its fitting lines; one that none fits is split; without a position to split by it ends.
         deeper = F.when(F.col("lost"), F.xxhash64("part", F.lit("rest"))).otherwise(F.xxhash64("part", "at", F.get(F.col("words"), F.col("at"))))
-        own = materialize(_open(left.select("t", "n", "families", deeper.alias("part"), "words"), min_docs), "leaf-lines")
+        own = step.where("not fits and (lost or at is not null)").select("t", "n", "families", deeper.alias("part"), "words")
     if shared is None:
         return dropped.limit(0)
     shared = materialize(shared, "leaf-fits")
@@ -204,17 +200,18 @@ def drop_recurring_lines(docs: DataFrame, doc_id: str = "doc_id", min_docs: int
     slim = docs.where("text <> ''").select(key.alias("key"), row.alias("row"), "text")
     parts = lambda even: F.transform(F.array_distinct(F.filter(_templates(even), lambda x: x != "")), lambda x: _line(x, depth))
     both = let(_even(F.col("text")), lambda even: F.struct(_sketch(even).alias("least"), parts(even).alias("parts")))
-    # The sketch stands below the explode, or it would be computed for every line.
-    each = materialize(slim.select("key", "row", both.alias("b")).select("key", "row", F.xxhash64("b.least").alias("sketch"), "b.least", "b.parts"), "lines")
-    sketches = each.groupBy("sketch").agg(F.first("least").alias("least"))
-    lines = each.select("key", "row", "sketch", F.explode("parts").alias("l")).select("key", "row", "sketch", "l.*")
-    exact = materialize(recurring(lines, sketches, min_docs, passage_tokens, alike), "exact-templates")
-    wider = _generalised(slim, lines, sketches, exact, min_docs, constant, similarity, alike)
-    drops = exact.unionAll(wider).groupBy("t").agg(F.min(F.coalesce("first", F.struct(F.lit(-_LAST - 1).alias("key"), F.lit(0).cast("long").alias("row")))).alias("first"))
-    drops = _few(materialize(drops, "templates"))
-    name, gone = free_name(docs, "row"), free_name(docs, "gone")
-    hit = lines.join(drops, "t").where(F.struct("key", "row") != F.col("first")).groupBy("row").agg(F.collect_set("t").alias(gone))
-    hit = materialize(hit.withColumnRenamed("row", name), "hits")
+    with scope(docs.sparkSession) as keep:
+        # The sketch stands below the explode, or it would be computed for every line.
+        each = materialize(slim.select("key", "row", both.alias("b")).select("key", "row", F.xxhash64("b.least").alias("sketch"), "b.least", "b.parts"), "lines")
+        sketches = each.groupBy("sketch").agg(F.first("least").alias("least"))
+        lines = each.select("key", "row", "sketch", F.explode("parts").alias("l")).select("key", "row", "sketch", "l.*")
+        exact = materialize(recurring(lines, sketches, min_docs, passage_tokens, alike), "exact-templates")
+        wider = _generalised(slim, lines, sketches, exact, min_docs, constant, similarity, alike)
+        drops = exact.unionAll(wider).groupBy("t").agg(F.min(F.coalesce("first", F.struct(F.lit(-_LAST - 1).alias("key"), F.lit(0).cast("long").alias("row")))).alias("first"))
+        drops = _few(materialize(drops, "templates"))
+        name, gone = free_name(docs, "row"), free_name(docs, "gone")
+        hit = lines.join(drops, "t").where(F.struct("key", "row") != F.col("first")).groupBy("row").agg(F.collect_set("t").alias(gone))
+        hit = keep(materialize(hit.withColumnRenamed("row", name), "hits"))
     whole = docs.select(*own).withColumn(name, F.when(F.col("text") != "", row))
     text = let(templates(F.col("text")), lambda ts: F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, F.xxhash64(F.get(ts, i)))))
     cut = let(text, lambda kept: F.struct(F.array_join(kept, "\n").alias("text"), (F.size(F.split("text", "\n")) - F.size(kept)).cast("long").alias("n")))

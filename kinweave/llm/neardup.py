@@ -38,7 +38,7 @@ from kinweave.llm.common import batched, forget, ship, small_batches
 from kinweave.llm.families import family_links, few_rows
 from kinweave.llm.simhash import hamming_links, majority, shingle_hashes, shingle_set
 from kinweave.operators.components import connected_components
-from kinweave.scratch import checkpoint, materialize
+from kinweave.scratch import checkpoint, materialize, scope
 
 ship(__name__)
 
@@ -47,6 +47,8 @@ SHINGLE, SIMILARITY, BANDS, ROWS, FIRST_BANDS, SALT_ROWS, PART_ROWS = 5, 0.8, 24
 SIGNATURE, SLACK = 128, 0.12
 #: Row keys (one number each) that are broadcast at most; 16 MB of them.
 BROADCAST_ROWS = 1_000_000
+#: Links that are joined into groups by one task at most; 16 MB of them.
+ONE_TASK_ROWS = 1_000_000
 
 
 class MinHasher:
@@ -195,7 +197,7 @@ def _families(buckets: DataFrame, large: DataFrame) -> DataFrame:
     """``family, id``: members of large buckets; buckets that share a member are one family."""
     keyed = buckets.join(few_rows(large.select("bucket")), "bucket", "left_semi").select(F.xxhash64("bucket").alias("src"), F.col("id").alias("dst"))
     keyed = materialize(keyed, "large-buckets")
-    labels = connected_components(keyed)
+    labels = connected_components(keyed, one_task_rows=ONE_TASK_ROWS)
     return labels.join(keyed.select(F.col("dst").alias("node")).distinct(), "node", "left_semi").select(F.col("component").alias("family"), F.col("node").alias("id"))
 
 
@@ -205,7 +207,7 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     made = materialize(slim.mapInArrow(_sketches(shingle, bands, rows), "row long, rank long, same binary, fp long, bands array<long>, signature binary"), "sketches")
     folded = made.groupBy("same").agg(F.min(F.struct("rank", "row")).alias("head"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
     folded = materialize(folded.select("same", F.col("head.row").alias("id"), F.col("head.rank").alias("rank"), "fp", "bands", "signature"), "folded")
-    links = connected_components(hamming_links(folded.select("fp").distinct(), radius))
+    links = connected_components(hamming_links(folded.select("fp").distinct(), radius), one_task_rows=ONE_TASK_ROWS)
     near = folded.join(links, folded.fp == links.node, "left").select(F.struct(F.lit(-1).alias("band"), F.coalesce("component", "fp").alias("key")).alias("bucket"), "id")
     banded = folded.select("id", F.posexplode("bands").alias("band", "key")).select(F.struct("band", "key").alias("bucket"), "id")
     signed, buckets = folded.where("signature <> x''").select("id", "signature"), near.unionAll(banded)
@@ -232,7 +234,7 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
         if more is tested:
             break
         tested = more
-    labels = connected_components(tested.where("similar"), "center", "id").join(folded.select(F.col("id").alias("node"), "rank"), "node")
+    labels = connected_components(tested.where("similar"), "center", "id", one_task_rows=ONE_TASK_ROWS).join(folded.select(F.col("id").alias("node"), "rank"), "node")
     firsts = labels.groupBy("component").agg(F.min(F.struct("rank", F.col("node").alias("id")))["id"].alias("head"))
     heads = checkpoint(labels.join(firsts, "component").select(F.col("node").alias("id"), "head"))
     named = folded.join(heads, "id", "left").select("same", F.coalesce("head", "id").alias("head"))
@@ -241,7 +243,7 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
 
 def _apart(parts: DataFrame, tested: DataFrame) -> DataFrame:
     """``part, id, tree`` of the parts that verified links don't join already."""
-    trees = connected_components(tested.where("similar"), "center", "id").select(F.col("node").alias("id"), "component")
+    trees = connected_components(tested.where("similar"), "center", "id", one_task_rows=ONE_TASK_ROWS).select(F.col("node").alias("id"), "component")
     named = parts.join(trees, "id", "left").select("part", "id", F.coalesce("component", "id").alias("tree"))
     apart = named.groupBy("part").agg(F.min("tree").alias("a"), F.max("tree").alias("b")).where("a <> b").select("part")
     return materialize(named.join(apart, "part", "left_semi"), "apart")
@@ -261,8 +263,9 @@ def _next_round(parts: DataFrame, tested: DataFrame, texts: DataFrame, shingle:
 
 def keep_one_of_each(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` (``doc_id, text`` and any others) that represent their group, one row each."""
-    groups = similar_groups(docs, **how)
-    rows = materialize(groups.groupBy("row").agg(F.max(F.col("row") == F.col("head")).alias("kept"), F.count("*").alias("times")), "row-groups")
+    with scope(docs.sparkSession) as keep:
+        groups = similar_groups(docs, **how)
+        rows = keep(materialize(groups.groupBy("row").agg(F.max(F.col("row") == F.col("head")).alias("kept"), F.count("*").alias("times")), "row-groups"))
     name = "_row"
     while name in docs.columns:
         name += "_"

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import let, table, words
+from kinweave.llm.common import free_name, let, table, words
 
 SYMBOLS = "#*$%&|<>"
 
@@ -81,21 +81,22 @@ def measures(text: Column, stop_words: list[str] | None = None) -> dict[str, Col
 def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """Counts and ratios of each row beside ``docs``' columns (clashing ones are replaced)."""
     m = measures(F.col(text))
-    out = docs.withColumns({"_qm": m["m"], "_qd": m["d"], "n_symbols": m["n_symbols"], "_qx": m["n_exclaims"]})
-    n, lines = F.greatest(F.col("_qm.n_words"), F.lit(1)), F.greatest(F.col("_qd.n_lines"), F.lit(1))
-    chars = F.greatest(F.col("_qm.word_chars"), F.lit(1))
+    a, b, x = (free_name(docs, c) for c in ("word_measures", "line_measures", "exclaims"))
+    out = docs.withColumns({a: m["m"], b: m["d"], "n_symbols": m["n_symbols"], x: m["n_exclaims"]})
+    n, lines = F.greatest(F.col(a)["n_words"], F.lit(1)), F.greatest(F.col(b)["n_lines"], F.lit(1))
+    chars = F.greatest(F.col(a)["word_chars"], F.lit(1))
     return out.withColumns(
-        {x: F.col(f"_qm.{x}") for x in ("n_words", "word_chars", "n_repeat_words", "n_stop_words")}
-        | {x: F.col(f"_qd.{x}") for x in ("n_lines", "n_dup_lines")}
+        {c: F.col(a)[c] for c in ("n_words", "word_chars", "n_repeat_words", "n_stop_words")}
+        | {c: F.col(b)[c] for c in ("n_lines", "n_dup_lines")}
         | {
-            "mean_word_length": F.col("_qm.word_chars") / n,
+            "mean_word_length": F.col(a)["word_chars"] / n,
             "symbol_ratio": F.col("n_symbols") / chars,
-            "exclaim_ratio": F.col("_qx") / n,
-            "stop_word_ratio": F.col("_qm.n_stop_words") / n,
-            "dup_line_ratio": F.col("_qd.n_dup_lines") / lines,
-            "repeat_word_ratio": F.col("_qm.n_repeat_words") / n,
+            "exclaim_ratio": F.col(x) / n,
+            "stop_word_ratio": F.col(a)["n_stop_words"] / n,
+            "dup_line_ratio": F.col(b)["n_dup_lines"] / lines,
+            "repeat_word_ratio": F.col(a)["n_repeat_words"] / n,
         }
-    ).drop("_qm", "_qd", "_qx")
+    ).drop(a, b, x)
 
 
 def compiled(thresholds=None) -> Column:

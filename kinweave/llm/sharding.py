@@ -39,29 +39,30 @@ def communication_matrix(counts: list[int], shards: int, seed: int) -> np.ndarra
 def shuffle_into_shards(rows: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     """``shard`` and gapless ``slot`` for every row, beside its columns (same names are replaced)."""
     spark = rows.sparkSession
-    own = [c for c in rows.columns if c not in ("shard", "slot")]
-    uid = F.monotonically_increasing_id()
-    kept = materialize(rows.select(*own).withColumn("_uid", uid), "shard-input").withColumn("_part", F.shiftright("_uid", 33))
-    counts = {r["_part"]: r["count"] for r in kept.groupBy("_part").count().collect()}
+    own = [c for c in rows.columns if c.lower() not in ("shard", "slot")]
+    # The row travels as one column: no name of its columns can clash with those used here.
+    packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row")).withColumn("uid", F.monotonically_increasing_id())
+    kept = materialize(packed, "shard-input").withColumn("part", F.shiftright("uid", 33))
+    counts = {r["part"]: r["count"] for r in kept.groupBy("part").count().collect()}
     parts = sorted(counts)
     matrix = communication_matrix([counts[p] for p in parts], shards, seed)
     cuts = spark.createDataFrame(
-        [(int(p), [int(x) for x in np.cumsum(row)]) for p, row in zip(parts, matrix, strict=True)], "_part long, _cuts array<long>"
+        [(int(p), [int(x) for x in np.cumsum(row)]) for p, row in zip(parts, matrix, strict=True)], "part long, cuts array<long>"
     )
-    mixed = lambda k: F.xxhash64(F.lit(seed * 2 + k), F.col("_uid"))
-    local = Window.partitionBy("_part").orderBy(mixed(0), "_uid")
-    ranked = kept.withColumn("_rank", F.row_number().over(local))
+    mixed = lambda k: F.xxhash64(F.lit(seed * 2 + k), F.col("uid"))
+    local = Window.partitionBy("part").orderBy(mixed(0), "uid")
+    ranked = kept.withColumn("rank", F.row_number().over(local))
     # The matrix has one row per part: its size is that of the plan, not of the data.
-    sent = ranked.join(F.broadcast(cuts), "_part").withColumn("shard", F.expr("cast(size(filter(_cuts, c -> c < _rank)) as int)"))
+    sent = ranked.join(F.broadcast(cuts), "part").withColumn("shard", F.expr("cast(size(filter(cuts, c -> c < rank)) as int)"))
     total = sum(counts.values())
     runs = max(1, -(-total // (shards * RUN_ROWS)))
-    sent = materialize(sent.select(*own, "shard", mixed(1).alias("_mix"), "_uid").withColumn("_run", F.expr(f"cast(floor((_mix / 18446744073709551616d + 0.5d) * {runs}) as int)")), "shard-sent")
-    sizes = sent.groupBy("shard", "_run").count()
-    before = Window.partitionBy("shard").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("shard", "_run", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    final = Window.partitionBy("shard", "_run").orderBy("_mix", "_uid")
-    out = sent.withColumn("_at", F.row_number().over(final)).join(starts, ["shard", "_run"])
-    return out.select(*own, "shard", (F.col("_start") + F.col("_at") - 1).alias("slot"))
+    sent = materialize(sent.select("row", "shard", mixed(1).alias("mix"), "uid").withColumn("run", F.expr(f"cast(floor((mix / 18446744073709551616d + 0.5d) * {runs}) as int)")), "shard-sent")
+    sizes = sent.groupBy("shard", "run").count()
+    before = Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("shard", "run", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    final = Window.partitionBy("shard", "run").orderBy("mix", "uid")
+    out = sent.withColumn("at", F.row_number().over(final)).join(starts, ["shard", "run"])
+    return out.select(*[F.col("row")[c].alias(c) for c in own], "shard", (F.col("start") + F.col("at") - 1).alias("slot"))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

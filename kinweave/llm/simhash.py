@@ -218,12 +218,18 @@ def _searcher(radius: int):
     return run
 
 
-def hamming_links(distinct: DataFrame, radius: int = 2, shard_rows: int = 8192, sample: int = 50_000, depth: int = 10) -> DataFrame:
-    """``src, dst``: links that connect every two fingerprints (column ``fp``, distinct) within ``radius`` bits."""
+def hamming_links(distinct: DataFrame, radius: int = 2, shard_rows: int = 8192, sample: int = 50_000, most_shards: int = 1 << 16) -> DataFrame:
+    """``src, dst``: links that connect every two fingerprints (column ``fp``, distinct) within ``radius`` bits.
+
+    Shards hold about ``shard_rows`` homes each; the tree grows with the table up to ``most_shards``, and so
+    does the sample that shapes it: 32 fingerprints a shard, 16 MB at most.
+    """
     total = distinct.count()
+    shards = min(most_shards, max(1, total // shard_rows))
+    depth, sample = max(10, math.ceil(math.log2(shards)) + 2), max(sample, 32 * shards)
     part = F.pmod(F.xxhash64(F.lit(3), "fp"), F.lit(1 << 20)) < int(min(1.0, sample / max(total, 1)) * (1 << 20))
     seen = np.array([r["fp"] for r in distinct.where(part).select("fp").limit(2 * sample).collect()], dtype=np.int64).view(np.uint64)
-    tree, _ = grow(seen, total, shard_rows, depth)
+    tree, _ = grow(seen, total, max(shard_rows, total // most_shards), depth)
     sent = distinct.select("fp").mapInArrow(_router(tree, radius), "shard int, fp long, home boolean")
     return sent.groupBy("shard").applyInArrow(_searcher(radius), "src long, dst long")
 

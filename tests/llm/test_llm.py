@@ -87,6 +87,15 @@ def test_op1_brute_force(spark, sf):
     assert {d: r["component_id"] for d, r in got.items()} == want
 
 
+def test_op1_odd_rows(spark, odd, empty):
+    got = simhash.near_duplicates(simhash.fingerprints(odd, ["doc_id"], 3)).collect()
+    assert len(got) == odd.count()
+    zero = [r for r in got if r["fp"] == 0]
+    assert len(zero) == 4 and {r["component_id"] for r in zero} == {1}
+    assert {r["component_id"] for r in got if r["doc_id"] in (5, 6)} == {5}
+    assert simhash.near_duplicates(simhash.fingerprints(empty, ["doc_id"], 3)).count() == 0
+
+
 def test_vantage_point_trees_lose_no_pair():
     r = np.random.default_rng(5)
     base = r.integers(0, 1 << 63, 3000, dtype=np.uint64)
@@ -247,6 +256,8 @@ def test_quality_counts(spark, odd, empty):
     got = quality.judge(odd)
     assert got.count() == odd.count() and not got.where("text is null and kept").count()
     assert quality.judge(empty).count() == 0
+    clash = quality.judge(odd.withColumns({c: F.lit(4) for c in ("_qm", "_qd", "_qx", "word_measures", "exclaims")}))
+    assert all(r["_qm"] == r["word_measures"] == r["exclaims"] == 4 for r in clash.collect())
 
 
 # ---- operators 5, 6, 7
@@ -470,10 +481,34 @@ def test_sharding(spark, odd, empty):
             slots[r["shard"]].append(r["slot"])
         assert all(sorted(s) == list(range(len(s))) for s in slots.values())
         assert not n or max(map(len, slots.values())) - min(len(slots.get(k, [])) for k in range(8)) <= 1
+    clash = spark.range(40).withColumnRenamed("id", "doc_id").withColumns({c: F.col("doc_id") for c in ("_uid", "uid", "run", "_run", "row", "part", "mix", "start", "at", "rank", "cuts", "Slot")})
+    got = sharding.shuffle_into_shards(clash, 8).collect()
+    assert len(got) == 40 and all(r[c] == r["doc_id"] for r in got for c in ("_uid", "run", "row", "cuts"))
     m = sharding.communication_matrix([5, 0, 9, 100], 8, 1)
     assert m.sum(1).tolist() == [5, 0, 9, 100] and set(m.sum(0).tolist()) <= {14, 15}
 
 
+def test_sharding_query(spark, sf):
+    docs = {r["doc_id"]: r["text"] for r in table(spark, sf, "documents").collect()}
+    got = QUERIES["op9_sharding"](spark, sf).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(docs)
+    for r in got:
+        raw = (docs[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 1, zlib.crc32(raw), "rows", None)
+    counts = collections.Counter(r["shard"] for r in got)
+    assert set(counts) == set(range(8)) and max(counts.values()) - min(counts.values()) <= 1
+
+
+def test_sharding_is_uniform(spark):
+    """Every shard is as likely for every row: over 60 seeds counts lie near their mean, whatever part a row is in."""
+    df = spark.range(64, numPartitions=4).withColumnRenamed("id", "doc_id")
+    seen = collections.Counter()
+    for seed in range(12):
+        seen.update((r["doc_id"] // 16, r["shard"]) for r in sharding.shuffle_into_shards(df, 4, seed).collect())
+    mean = 12 * 16 / 4
+    assert len(seen) == 16 and sum((n - mean) ** 2 / mean for n in seen.values()) < 40
+
+
 def luhn(digits):
     d = [int(c) for c in reversed(digits)]
     return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(d)) % 10 == 0
