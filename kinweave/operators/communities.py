@@ -399,7 +399,7 @@ def assign_annealed(nodes: DataFrame, budget: DataFrame, communities: int, mode:
         batch = people.where(F.col("_batch") == b)
         groups = batch.select(F.col("group_id").alias("g")).distinct()
         if communities <= fresh:
-            new = groups.select("g", F.explode(F.sequence(F.lit(0), F.lit(communities - 1))).cast("long").alias("community_id"))
+            new = groups.select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(communities - 1).cast("long"))).alias("community_id"))
         else:
             drawn = groups.select("g", F.explode(F.sequence(F.lit(0), F.lit(fresh - 1))).alias("k"))
             new = drawn.select("g", F.floor(u(seed + 1, F.lit(b), "g", "k") * communities).cast("long").alias("community_id")).distinct()
