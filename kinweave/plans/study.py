@@ -14,7 +14,7 @@ from kinweave.plans.graph import DEG, LBL, UND, degree
 from kinweave.sources import fixtures as X
 from kinweave.sources.readers import error_records
 
-INPUTS, OUTPUT, SLICES, REPLICATES = ["l_quantity", "l_discount"], "l_extendedprice", 10, 200
+INPUTS, OUTPUT, SLICES, REPLICATES = ["l_quantity", "l_discount"], "l_extendedprice", 10, 20
 BOUNDS = {"n_communities": (1, 35000), "transitivity": (0.0, 1.0)}
 AXES = {"n_communities": [1, 33, 1063, 35000], "attachment": [0.0, 1.0], "transitivity": [0.0, 1.0]}
 TARGETS = {"transitivity": 0.4941, "modularity": 0.8774, "skew": 7.0774}
