@@ -83,25 +83,31 @@ def _differences(shingle: int, c: float):
     return run
 
 
-def forest(slack: np.ndarray, diffs: list[np.ndarray], joined: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the similar pairs of a small group; ``joined`` members are one tree already."""
-    n = len(diffs)
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements every two of the sets share; long ones are met in pieces of about half a million elements."""
+    n = len(sets)
+    flat = np.concatenate(sets) if n else np.zeros(0, np.int64)
+    of = np.repeat(np.arange(n), [len(s) for s in sets])
+    out, pieces = np.zeros((n, n), np.float32), 1 + (len(flat) >> 19)
+    piece = flat % flat.dtype.type(pieces)
+    for p in range(pieces):
+        own, rows = flat[piece == p], of[piece == p]
+        element, place, seen = np.unique(own, return_inverse=True, return_counts=True)
+        shared = seen[place] > 1
+        column, rows = np.unique(place[shared], return_inverse=True)[1], rows[shared]
+        for at in range(0, int(column.max(initial=-1)) + 1, 4096):
+            mine = (column >= at) & (column < at + 4096)
+            block = np.zeros((n, 4096), np.float32)
+            block[rows[mine], column[mine] - at] = 1
+            out += block @ block.T
+    return out
+
+
+def forest(slack: np.ndarray, diffs: list[np.ndarray], tree: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the similar pairs of a small group; members of equal ``tree`` are joined already."""
     need = -(slack[:, None] + slack[None, :]) - EPS
-    flat = np.concatenate(diffs) if n else np.zeros(0, np.int64)
-    of = np.repeat(np.arange(n), [len(d) for d in diffs])
-    element, place, seen = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = seen[place] > 1
-    column, of = np.unique(place[shared], return_inverse=True)[1], of[shared]
-    overlap = np.zeros((n, n), np.float32)
-    for at in range(0, int(column.max(initial=-1)) + 1, 4096):
-        mine = (column >= at) & (column < at + 4096)
-        block = np.zeros((n, 4096), np.float32)
-        block[of[mine], column[mine] - at] = 1
-        overlap += block @ block.T
-    close = np.triu(2 * overlap >= need, 1) & ~(joined[:, None] & joined[None, :])
-    tree = np.arange(n)
-    tree[joined] = n
-    links = []
+    close = np.triu(2 * overlaps(diffs) >= need, 1) & (tree[:, None] != tree[None, :])
+    tree, links = tree.copy(), []
     for i, j in zip(*np.nonzero(close)):
         a, b = tree[i], tree[j]
         if a != b:
@@ -114,7 +120,8 @@ def _linker(group: pa.Table) -> pa.Table:
     ids = group.column("id").to_numpy()
     _, first = np.unique(ids, return_index=True)
     diffs = [np.array(d, dtype=np.int64) for d in group.column("diff").take(pa.array(first)).to_pylist()]
-    links = forest(group.column("slack").to_numpy()[first], diffs, group.column("near").to_numpy(zero_copy_only=False)[first])
+    near = group.column("near").to_numpy(zero_copy_only=False)[first]
+    links = forest(group.column("slack").to_numpy()[first], diffs, np.where(near, len(first), np.arange(len(first))))
     ids = ids[first]
     return pa.table({"center": pa.array([ids[i] for i, _ in links], pa.int64()), "id": pa.array([ids[j] for _, j in links], pa.int64())})
 

@@ -9,9 +9,9 @@ Equal word sequences are folded first. Candidate groups of up to ``PART_ROWS``
 members are taken whole (groups of the same members once): signatures estimate
 every similarity, and a spanning forest of the most similar pairs is verified by
 the exact similarity of the shingle sets. The first bands come first: what they
-join is one tree for all others. Trees that a failed pair leaves apart are tried
-again by their next likely pairs, four times as many in each round, until none
-is left. So a part of ``n`` gives about ``n`` comparisons of texts.
+join is one tree for all others. Where a failed pair leaves trees apart, the members
+that are likely similar to one of another tree meet in one task, which holds their
+shingle sets against each other. So a part of ``n`` gives about ``n`` rows, not pairs.
 
 Larger groups, joined where they share members, go to ``families``, which links
 every two similar members exactly and without comparing all pairs.
@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm.common import batched, forget, ship, small_batches
-from kinweave.llm.families import family_links, few_rows
+from kinweave.llm.families import family_links, few_rows, forest
 from kinweave.llm.simhash import hamming_links, majority, shingle_hashes, shingle_set
 from kinweave.operators.components import connected_components
 from kinweave.scratch import checkpoint, materialize, scope
@@ -92,15 +92,15 @@ def _sketches(shingle: int, bands: int, rows: int):
     return run
 
 
-def likely_pairs(ids: list[int], signatures: list[bytes], failed: list, good: list, trees: list[int], least: float, most: int) -> list[tuple[int, int]]:
-    """Pairs to verify in a part, between members of different ``trees``.
+def likeness_of(signatures: list[bytes], least: float) -> tuple[np.ndarray, float]:
+    """Equal signature values of every two members, and how many make a pair likely."""
+    sig = np.frombuffer(b"".join(signatures), np.uint16).reshape(len(signatures), -1)
+    return np.stack([(sig == s).sum(1, dtype=np.int32) for s in sig]), (least - SLACK) * max(1, sig.shape[1])
 
-    At first (``most`` 0) a maximum spanning forest by estimated similarity;
-    later, for every two trees of verified pairs, their ``most`` likeliest untried pairs.
-    """
-    sig = np.frombuffer(b"".join(signatures), np.uint16).reshape(len(ids), -1)
-    place, need = {x: i for i, x in enumerate(ids)}, (least - SLACK) * max(1, sig.shape[1])
-    likeness = np.stack([(sig == s).sum(1, dtype=np.int32) for s in sig])
+
+def likely_pairs(ids: list[int], signatures: list[bytes], failed: list, good: list, trees: list[int], least: float) -> list[tuple[int, int]]:
+    """Pairs to verify in a part: a maximum spanning forest by estimated similarity, between members of different ``trees``."""
+    place, (likeness, need) = {x: i for i, x in enumerate(ids)}, likeness_of(signatures, least)
     pair = lambda i, j: (min(ids[i], ids[j]), max(ids[i], ids[j]))
     tree, links = np.unique(np.array(trees, dtype=np.int64), return_inverse=True)[1], []
     for i, own in enumerate(good):
@@ -112,37 +112,52 @@ def likely_pairs(ids: list[int], signatures: list[bytes], failed: list, good: li
             if x in place:
                 likeness[i, place[x]] = likeness[place[x], i] = -1
     joined = tree[:, None] == tree[None, :]
-    if not most:
-        # Prim: each member's best link to what has grown; a member without one starts the next tree.
-        likeness[joined] = np.iinfo(np.int32).max
-        best, to, left = np.full(len(ids), -1, np.int32), np.zeros(len(ids), np.int64), np.ones(len(ids), bool)
-        while left.any():
-            i = int(np.argmax(np.where(left, best, -2)))
-            left[i] = False
-            if best[i] >= need and not joined[i, to[i]]:
-                links.append(pair(i, to[i]))
-            nearer = likeness[i] > best
-            best, to = np.where(nearer, likeness[i], best), np.where(nearer, i, to)
-        return links
-    rows, cols = np.nonzero(np.triu(likeness >= need) & ~joined)
-    taken: dict[tuple[int, int], int] = {}
-    for k in np.argsort(-likeness[rows, cols], kind="stable").tolist():
-        i, j = int(rows[k]), int(cols[k])
-        key = (min(tree[i], tree[j]), max(tree[i], tree[j]))
-        if taken.setdefault(key, 0) < most:
-            taken[key] += 1
-            links.append(pair(i, j))
+    # Prim: each member's best link to what has grown; a member without one starts the next tree.
+    likeness[joined] = np.iinfo(np.int32).max
+    best, to, left = np.full(len(ids), -1, np.int32), np.zeros(len(ids), np.int64), np.ones(len(ids), bool)
+    while left.any():
+        i = int(np.argmax(np.where(left, best, -2)))
+        left[i] = False
+        if best[i] >= need and not joined[i, to[i]]:
+            links.append(pair(i, to[i]))
+        nearer = likeness[i] > best
+        best, to = np.where(nearer, likeness[i], best), np.where(nearer, i, to)
     return links
 
 
-def _pairs(least: float, most: int):
+def _pairs(least: float):
     def run(part: pa.Table) -> pa.Table:
-        links = likely_pairs(*(part.column(c).to_pylist() for c in ("id", "signature", "failed", "good", "tree")), least, most)
+        links = likely_pairs(*(part.column(c).to_pylist() for c in ("id", "signature", "failed", "good", "tree")), least)
         return pa.table({"center": pa.array([x for x, _ in links], pa.int64()), "id": pa.array([x for _, x in links], pa.int64())})
 
     return run
 
 
+def _likely_members(least: float):
+    """Members of a part that are likely similar to one of another tree."""
+
+    def run(part: pa.Table) -> pa.Table:
+        likeness, need = likeness_of(part.column("signature").to_pylist(), least)
+        tree = part.column("tree").to_numpy()
+        likely = ((likeness >= need) & (tree[:, None] != tree[None, :])).any(1)
+        return part.select(["part", "id", "tree"]).filter(pa.array(likely))
+
+    return run
+
+
+def _inside(shingle: int, least: float):
+    """Links that join the trees of a part by the exact similarity of all its members."""
+    c = (1 - least) / (1 + least)
+
+    def run(part: pa.Table) -> pa.Table:
+        sets = [shingle_set(text, shingle) for text in batched(part.column("text"))]
+        ids, tree = part.column("id").to_pylist(), np.unique(part.column("tree").to_numpy(), return_inverse=True)[1]
+        links = forest((c - 1) * np.array([len(s) for s in sets]), sets, tree)
+        return pa.table({"center": pa.array([ids[i] for i, _ in links], pa.int64()), "id": pa.array([ids[j] for _, j in links], pa.int64())})
+
+    return run
+
+
 def _verifier(shingle: int, least: float):
     def run(group: pa.Table) -> pa.Table:
         center = group.column("center")[0].as_py()
@@ -219,21 +234,13 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     texts = materialize(few(slim, wanted.distinct().withColumnRenamed("id", "row"), "row", "left_semi").select("row", "text").dropDuplicates(["row"]), "candidate-texts")
     no_links = spark_empty(docs, "center long, id long, similar boolean")
     known = no_links if families is None else family_links(families.select("family", "id"), texts, shingle, similarity).withColumn("similar", F.lit(True))
-    most, tested = 0, materialize(known, "verified")
+    tested = materialize(known, "verified")
     for chosen in (_parts(buckets, small.where(F.col("bucket.band") < FIRST_BANDS)), whole):
-        parts = _apart(chosen, tested).join(signed, "id")
-        tested = _next_round(parts, tested, texts, shingle, similarity, 0)
-    parts = materialize(parts, "parts-apart")
-    while True:
-        most = max(1, most) * 4
-        # A part without a pair that failed is done.
-        hurt = tested.where("not similar").select(F.explode(F.array("center", "id")).alias("id")).distinct()
-        open_ = parts.join(hurt, "id", "left_semi").groupBy("part").agg(F.count("*").alias("k")).where("k > 1").select("part")
-        parts = materialize(parts.join(open_, "part", "left_semi"), "parts-again")
-        more = _next_round(parts, tested, texts, shingle, similarity, most)
-        if more is tested:
-            break
-        tested = more
+        tested = _next_round(_apart(chosen, tested).join(signed, "id"), tested, texts, shingle, similarity)
+    open_ = _apart(whole, tested).join(signed, "id").groupBy("part").applyInArrow(_likely_members(similarity), "part long, id long, tree long")
+    met = materialize(open_, "likely-members").join(texts.withColumnRenamed("row", "id"), "id").select("part", "id", "tree", "text")
+    inside = met.groupBy("part").applyInArrow(_inside(shingle, similarity), "center long, id long")
+    tested = materialize(inside.distinct().withColumn("similar", F.lit(True)).unionAll(tested), "verified")
     labels = connected_components(tested.where("similar"), "center", "id", one_task_rows=ONE_TASK_ROWS).join(folded.select(F.col("id").alias("node"), "rank"), "node")
     firsts = labels.groupBy("component").agg(F.min(F.struct("rank", F.col("node").alias("id")))["id"].alias("head"))
     heads = checkpoint(labels.join(firsts, "component").select(F.col("node").alias("id"), "head"))
@@ -249,12 +256,12 @@ def _apart(parts: DataFrame, tested: DataFrame) -> DataFrame:
     return materialize(named.join(apart, "part", "left_semi"), "apart")
 
 
-def _next_round(parts: DataFrame, tested: DataFrame, texts: DataFrame, shingle: int, similarity: float, most: int) -> DataFrame:
+def _next_round(parts: DataFrame, tested: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """``tested`` and the outcome of the next pairs of all parts; ``tested`` itself if there are none."""
     ways = tested.unionAll(tested.select(F.col("id").alias("center"), F.col("center").alias("id"), "similar"))
     partner = lambda cond: F.collect_list(F.when(cond, F.col("center")))
     known = ways.join(parts.select("id").distinct(), "id", "left_semi").groupBy("id").agg(partner(~F.col("similar")).alias("failed"), partner(F.col("similar")).alias("good"))
-    grown = parts.join(known, "id", "left").groupBy("part").applyInArrow(_pairs(similarity, most), "center long, id long").distinct()
+    grown = parts.join(known, "id", "left").groupBy("part").applyInArrow(_pairs(similarity), "center long, id long").distinct()
     edges = materialize(grown.join(tested, ["center", "id"], "left_anti"), "likely-pairs")
     if edges.isEmpty():
         return tested

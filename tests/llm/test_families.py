@@ -105,3 +105,30 @@ def test_texts_that_differ_just_too_much_stay_apart(spark):
     table = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
     links = [(x["center"], x["id"]) for x in families.family_links(table.selectExpr("1L as family", "row as id"), table, 5, 0.8, group_rows=50).collect()]
     assert (components(len(texts), links) == want).all()
+
+
+def test_likely_pairs_are_not_all_verified_one_by_one(spark, monkeypatch):
+    """Pages at similarity 0.73 and a few twins: as many rows as members in buckets, and no link is lost."""
+    r = random.Random(11)
+    word = lambda: f"w{r.random():.9f}"
+    base = [word() for _ in range(170)]
+    texts = [" ".join(base + [word() for _ in range(30)]) for _ in range(250)]
+    texts += [" ".join(t.split()[:-2] + [word(), word()]) for t in texts[::25]]
+    want, _ = brute_components(texts)
+    compared, verified = [], neardup._verified
+
+    def counting(edges, *a):
+        compared.append(edges.count())
+        return verified(edges, *a)
+
+    monkeypatch.setattr(neardup, "_verified", counting)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    assert {x["doc_id"] for x in neardup.keep_one_of_each(df).collect()} == set(want.tolist())
+    assert len(set(want.tolist())) == 250 and sum(compared) < neardup.BANDS * len(texts)
+
+
+def test_overlaps_in_pieces():
+    r = np.random.default_rng(2)
+    sets = [np.unique(r.integers(0, 1 << 20, 90_000).astype(np.uint64)) for _ in range(9)]
+    got = families.overlaps(sets)
+    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(9) for j in range(9) if i != j)
