@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from kinweave.functions.hashing import u
 from kinweave.functions.ranking import rank_within
+from kinweave.operators.bootstrap import bootstrap_indices
 
 
 def finite(*names: str) -> Column:
@@ -80,12 +81,7 @@ def pawn_bootstrap(pairs: DataFrame, replicates: int = 200, seed: int = 0, **how
     ``pairs`` has ``row`` besides, a key of the row within its label, input and output.
     """
     keys = ["label", "input", "output"]
-    ranked = rank_within(pairs.withColumn("_x", u(seed, "row")), keys, "_x", "row", "i")
-    sizes = pairs.groupBy(*keys).agg(F.count("*").alias("n"))
-    slots = ranked.select(*keys, "i").join(sizes, keys).select(*keys, "n", "i", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    drawn = slots.select(*keys, "rep", (F.floor(u(seed + 1, "input", "output", "label", "rep", "i") * F.col("n")) + 1).alias("i"))
-    sample = drawn.join(ranked.select(*keys, "i", "x", "y"), [*keys, "i"]).select(*keys, "rep", "x", "y")
-    each = pawn(sample, extra=("rep",), **how).where(~F.isnan("index"))
+    each = bootstrap_indices(pairs, replicates, seed, **how)
     q = F.percentile("index", F.array(F.lit(0.025), F.lit(0.975)))
     return each.groupBy(*keys).agg(q[0].alias("ci_lo"), q[1].alias("ci_hi"))
 
