@@ -52,19 +52,31 @@ def _even(text: Column) -> Column:
     return F.when(odd, F.regexp_replace(text, r"[ \t\x0b\x0c\r]+", " ")).otherwise(text)
 
 
+def _plain(text: Column) -> Column:
+    """Whether a text is even as it is and has no digits; a class of single characters is looked up faster than ranges."""
+    return ~text.rlike(r"[\t\x0b\x0c\r0123456789]") & ~text.contains("  ")
+
+
+def _trimmed(even: Column) -> Column:
+    return F.transform(F.split(even, "\n"), lambda x: F.trim(x))
+
+
+def _tokens(x: Column) -> Column:
+    """Tokens of a line; bytes are counted, for blanks have one."""
+    return F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1
+
+
 def _templates(even: Column) -> Column:
     """A line of which too little is left when its fields are masked stays as it is."""
-    raw = F.split(even, "\n")
-    fields = lambda x: (F.length(x) - F.length(F.replace(x, F.lit("<*>"), F.lit("")))) / 3
-    tokens = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1
-    pick = lambda ms: F.transform(raw, lambda x, i: F.trim(F.when(fields(F.get(ms, i)) <= (1 - SIMILARITY) * tokens(F.get(ms, i)), F.get(ms, i)).otherwise(x)))
+    fields = lambda x: (F.octet_length(x) - F.octet_length(F.replace(x, F.lit("<*>"), F.lit("")))) / 3
+    pick = lambda ms: F.transform(F.split(even, "\n"), lambda x, i: F.trim(F.when(fields(F.get(ms, i)) <= (1 - SIMILARITY) * _tokens(F.get(ms, i)), F.get(ms, i)).otherwise(x)))
     masked = F.split(F.regexp_replace(even, r"[^\s0-9]*+[0-9]\S*", "<*>"), "\n")
-    return F.when(even.rlike("[0-9]"), let(masked, pick)).otherwise(F.transform(raw, lambda x: F.trim(x)))
+    return F.when(even.rlike("[0-9]"), let(masked, pick)).otherwise(_trimmed(even))
 
 
 def templates(text: Column) -> Column:
     """The lines of a text with digit-bearing tokens masked and white space even; blank lines are empty."""
-    return let(_even(text), _templates)
+    return F.when(_plain(text), _trimmed(text)).otherwise(let(_even(text), _templates))
 
 
 def _sketch(even: Column) -> Column:
@@ -85,14 +97,19 @@ def _copies(a: Column, b: Column, alike: float) -> Column:
 
 
 def _line(x: Column, depth: int) -> Column:
-    n = F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1
-    return F.struct(F.xxhash64(x).alias("t"), F.xxhash64(n, F.substring_index(x, " ", depth)).alias("leaf"), n.alias("n"))
+    return let(_tokens(x), lambda n: F.struct(F.xxhash64(x).alias("t"), F.xxhash64(n, F.substring_index(x, " ", depth)).alias("leaf"), n.alias("n")))
+
+
+def _digest(text: Column, depth: int) -> Column:
+    """The sketch of a text; template, leaf and token count of its lines, each but once; the templates of all its lines in order."""
+    parts = lambda ts: F.transform(F.array_distinct(F.filter(ts, lambda x: x != "")), lambda x: _line(x, depth))
+    all_of = lambda even, lines: let(lines, lambda ts: F.struct(_sketch(even).alias("least"), parts(ts).alias("parts"), F.transform(ts, lambda x: F.xxhash64(x)).alias("ts")))
+    return F.when(_plain(text), all_of(text, _trimmed(text))).otherwise(let(_even(text), lambda even: all_of(even, _templates(even))))
 
 
 def _met(lines: DataFrame, *by: str) -> DataFrame:
-    """Sketches and first row of what two or more sketches have; the hot ones are summed twice before they meet."""
-    part = lines.groupBy(*by, "sketch").agg(F.min(F.struct("key", "row")).alias("first"))
-    return part.groupBy(*by).agg(F.count("*").alias("families"), F.min("first").alias("first")).where("families > 1")
+    """Sketches of what two or more sketches have; the hot ones are summed twice before they meet."""
+    return lines.select(*by, "sketch").distinct().groupBy(*by).agg(F.count("*").alias("families")).where("families > 1")
 
 
 def _few(keys: DataFrame) -> DataFrame:
@@ -139,7 +156,9 @@ def recurring(lines: DataFrame, sketches: DataFrame, min_docs: int, passage_toke
     out = met.join(_unrelated(lines, sketches, met, "t", max(2, min_docs), alike), "t")
     everywhere = F.col("unrelated") >= min_docs
     out = out.where((F.col("unrelated") >= 2) & (everywhere | (F.col("n") >= passage_tokens)))
-    return out.select("t", F.when(~everywhere, F.col("first")).alias("first"))
+    out = materialize(out.select("t", everywhere.alias("everywhere")), "found")
+    passages = lines.join(_few(out.where("not everywhere").select("t")), "t").groupBy("t").agg(F.min(F.struct("key", "row")).alias("first"))
+    return out.where("everywhere").select("t", F.lit(None).cast(FIRST).alias("first")).unionAll(passages)
 
 
 def _generalised(docs: DataFrame, lines: DataFrame, sketches: DataFrame, dropped: DataFrame, min_docs: int, constant: float, similarity: float, alike: float) -> DataFrame:
@@ -149,13 +168,13 @@ def _generalised(docs: DataFrame, lines: DataFrame, sketches: DataFrame, dropped
     # A template can't be in more unrelated documents than its leaf: the leaves of copies end here.
     most = max(2, min_docs)
     wide = _few(materialize(_unrelated(rest, sketches, wide, "leaf", most, alike).where(F.col("unrelated") >= min_docs).select("leaf"), "wide-leaves"))
-    kinds = rest.where("n > 1").join(wide, "leaf").groupBy("t", "leaf", "n").agg(F.count_distinct("sketch").alias("families"))
+    kinds = rest.where("n > 1").join(wide, "leaf").groupBy("t", "leaf", "n").agg(F.count_distinct("sketch").alias("families"), F.min("row").alias("row"))
     kinds = materialize(kinds, "leaf-kinds")
-    # Line texts are wide: they are picked before they are shuffled wherever the wanted templates are few.
-    wanted = kinds.select("t")
-    wanted = F.broadcast(wanted) if kinds.count() <= BROADCAST_ROWS else wanted
-    text = docs.select(F.explode(F.array_distinct(templates(F.col("text")))).alias("line")).where("line <> ''")
-    text = text.withColumn("t", F.xxhash64("line")).join(wanted, "t", "left_semi").groupBy("t").agg(F.first("line").alias("line"))
+    # Line texts are wide: one document of each template gives its text, and lines are picked before they are shuffled.
+    few = F.broadcast if kinds.count() <= BROADCAST_ROWS else lambda keys: keys
+    text = docs.join(few(kinds.select("row")), "row", "left_semi").select(F.explode(F.array_distinct(templates(F.col("text")))).alias("line")).where("line <> ''")
+    text = text.withColumn("t", F.xxhash64("line")).join(few(kinds.select("t")), "t", "left_semi").groupBy("t").agg(F.first("line").alias("line"))
+    kinds = kinds.drop("row")
     own = kinds.join(text, "t").select("t", "n", "families", F.col("leaf").alias("part"), F.split("line", " ").alias("words"))
     shared = None
     for _ in range(LEAF_LEVELS):
@@ -198,23 +217,26 @@ def drop_recurring_lines(docs: DataFrame, doc_id: str = "doc_id", min_docs: int
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST))
     row = F.xxhash64(key, "text")
     slim = docs.where("text <> ''").select(key.alias("key"), row.alias("row"), "text")
-    parts = lambda even: F.transform(F.array_distinct(F.filter(_templates(even), lambda x: x != "")), lambda x: _line(x, depth))
-    both = let(_even(F.col("text")), lambda even: F.struct(_sketch(even).alias("least"), parts(even).alias("parts")))
     with scope(docs.sparkSession) as keep:
         # The sketch stands below the explode, or it would be computed for every line.
-        each = materialize(slim.select("key", "row", both.alias("b")).select("key", "row", F.xxhash64("b.least").alias("sketch"), "b.least", "b.parts"), "lines")
-        sketches = each.groupBy("sketch").agg(F.first("least").alias("least"))
+        each = slim.select("key", "row", _digest(F.col("text"), depth).alias("b"))
+        each = materialize(each.select("key", "row", F.xxhash64("b.least").alias("sketch"), "b.least", "b.parts", "b.ts"), "lines")
+        sketches = materialize(each.groupBy("sketch").agg(F.first("least").alias("least")), "sketches")
         lines = each.select("key", "row", "sketch", F.explode("parts").alias("l")).select("key", "row", "sketch", "l.*")
         exact = materialize(recurring(lines, sketches, min_docs, passage_tokens, alike), "exact-templates")
         wider = _generalised(slim, lines, sketches, exact, min_docs, constant, similarity, alike)
         drops = exact.unionAll(wider).groupBy("t").agg(F.min(F.coalesce("first", F.struct(F.lit(-_LAST - 1).alias("key"), F.lit(0).cast("long").alias("row")))).alias("first"))
         drops = _few(materialize(drops, "templates"))
         name, gone = free_name(docs, "row"), free_name(docs, "gone")
-        hit = lines.join(drops, "t").where(F.struct("key", "row") != F.col("first")).groupBy("row").agg(F.collect_set("t").alias(gone))
+        # Where the lines of each text stand that go, in order.
+        places = each.select("key", "row", F.posexplode("ts").alias("at", "t")).join(drops, "t").where(F.struct("key", "row") != F.col("first"))
+        hit = places.groupBy("row").agg(F.sort_array(F.collect_set("at")).alias(gone))
         hit = keep(materialize(hit.withColumnRenamed("row", name), "hits"))
     whole = docs.select(*own).withColumn(name, F.when(F.col("text") != "", row))
-    text = let(templates(F.col("text")), lambda ts: F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, F.xxhash64(F.get(ts, i)))))
-    cut = let(text, lambda kept: F.struct(F.array_join(kept, "\n").alias("text"), (F.size(F.split("text", "\n")) - F.size(kept)).cast("long").alias("n")))
+    # What stays are the runs between lines that go: no line is looked up.
+    run = lambda lines, a, j: F.slice(lines, a + 2, F.coalesce(F.get(gone, j), F.size(lines)) - a - 1)
+    kept = let(F.split("text", "\n"), lambda lines: F.flatten(F.transform(F.concat(F.array(F.lit(-1)), gone), lambda a, j: run(lines, a, j))))
+    cut = F.struct(F.array_join(kept, "\n").alias("text"), F.size(gone).cast("long").alias("n"))
     out = lambda text, n: [*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in own], n.alias("lines_dropped")]
     keys = hit.select(name)
     if keys.count() > BROADCAST_ROWS:

@@ -300,6 +300,27 @@ def test_lines_go_from_short_documents_and_beside_copies(spark):
     assert all(one not in r["text"] for r in got.values())
 
 
+def test_lines_are_cut_by_their_places(spark, monkeypatch):
+    """Texts are masked but once: the cut goes by the places of lines, and one document of a template gives its text."""
+    read, write = [], linededup.materialize
+
+    def seen(df, name):
+        out = write(df, name)
+        if name == "leaf-kinds":
+            read.append(out.columns)
+        return out
+
+    monkeypatch.setattr(linededup, "materialize", seen)
+    foot, odd = "One line\tof  the footer stands here", "  Seite 12\r"
+    docs = [(i, "\n".join([foot, "", prose(7500 + i, 30) + " \t", foot, odd, "  ", prose(7600 + i, 30), f"é  {prose(7700 + i, 4)}", odd, "", foot])) for i in range(5)]
+    docs += [(10, "\n".join([prose(7800, 40), *[foot] * 20_000, prose(7801, 40)])), (11, "\n".join([foot, odd])), (11, "\n".join([foot, odd])), (12, None), (13, "")]
+    out = linededup.drop_recurring_lines(spark.createDataFrame(rows(docs), SCHEMA))
+    want = [(i, t and "\n".join(x for x in t.split("\n") if x not in (foot, odd)), sum(x in (foot, odd) for x in (t or "").split("\n"))) for i, t in docs]
+    assert sorted(((r["doc_id"], r["text"], r["lines_dropped"]) for r in out.collect()), key=str) == sorted(want, key=str)
+    assert "regexp_replace" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert read and all("row" in columns for columns in read)
+
+
 def test_line_dedup_brute_force(spark):
     """Lines without fields in documents of which none are alike: dropped if in three or more, passages but once."""
     r = random.Random(9)
