@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 
@@ -60,8 +61,18 @@ def per_process(key: str, make):
 
 
 def forget() -> None:
-    """Let go of what ``per_process`` keeps: another operator's tasks need the memory."""
+    """Let go of what ``per_process`` keeps: another operator's tasks need the memory, so it goes back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
     sys.modules.setdefault("_kinweave_worker", types.ModuleType("_kinweave_worker")).__dict__.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # only glibc has it
+        pass
 
 
 def batched(column, rows: int = 256):

@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import batched, ddl, per_process, ship, small_batches, table
+from kinweave.llm.common import batched, ddl, forget, per_process, ship, small_batches, table
 from kinweave.scratch import materialize
 
 ship(__name__)
@@ -206,6 +206,7 @@ def _packer(keys: int, sequence: int, documents: int, attention: float, weights,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        forget()  # all texts are tokenized by now
         base, held = TaskContext.get().partitionId() << 40, [b for b in batches if b.num_rows]
         if not held:
             return

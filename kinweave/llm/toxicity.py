@@ -45,9 +45,9 @@ def terms_of(word: str) -> list[int]:
 
 
 def _term_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for b in batches:
-        texts = b.column(1).to_pylist()
-        terms = [sorted({t for w in set((x or "").lower().split()) for t in terms_of(w)}) for x in texts]
+        terms = [sorted({t for w in set((x or "").lower().split()) for t in terms_of(w)}) for x in batched(b.column(1))]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(terms, pa.list_(pa.int32()))], ["y", "terms"])
 
 

@@ -15,6 +15,10 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Without Hadoop's native library a local file system starts a ``chmod`` process from the executor for every file, and one
+#: more for its checksum file. Such a process shares the executor's memory until it executes. Parquet pages have checksums
+#: of their own, so tables in a local folder are written without the second file.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 _LOCAL: dict[str, str] = {}
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
@@ -46,7 +50,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kinweave-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.options(**(PLAIN_FILES if path.startswith("file:") else {})).parquet(path)
     if not _WRITTEN:
         atexit.register(_clean)
     _WRITTEN.append((spark, path))

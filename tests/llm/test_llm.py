@@ -3,17 +3,20 @@
 import collections
 import random
 import re
+import types
 import zlib
 
 import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from kinweave import scratch
 from kinweave.llm import contamination, licenses, linededup, neardup, packing, pii, quality, sharding, simhash, toxicity, urls
-from kinweave.llm.common import table
+from kinweave.llm.common import per_process, table
 from kinweave.llm.queries import ORACLE_SQL, QUERIES
 
 WORDS = [a + b + c for a in ("ka", "lo", "mi", "ne", "po", "ru", "sa", "ti") for b in ("n", "rs", "lt", "m", "ck", "d", "st") for c in ("a", "er", "ing", "on", "ly", "ed", "um")]
@@ -614,3 +617,20 @@ def test_pipeline_runs(spark, sf):
     kept = {r["doc_id"] for r in out.select("doc_id").distinct().collect()}
     leaks = {r["doc_id"] for r in contamination.contained_items(table(spark, sf, "documents"), table(spark, sf, "benchmark"), ["doc_id"]).collect()}
     assert kept and not kept & leaks
+
+
+def test_local_tables_are_written_without_checksum_files(spark, tmp_path, monkeypatch):
+    """Each would be one more process started from the executor."""
+    monkeypatch.setattr(scratch, "shared_dir", lambda _: f"file://{tmp_path}")
+    out = scratch.materialize(spark.range(1000).repartition(4), "plain")
+    files = [p.name for p in tmp_path.rglob("*") if p.is_file()]
+    assert sum(x.endswith(".parquet") for x in files) == 4 and not [x for x in files if x.endswith(".crc")]
+    assert sorted(r[0] for r in out.collect()) == list(range(1000))
+
+
+@pytest.mark.parametrize("task", [packing._packer(0, 2048, 2048, 2048.0**2, (1.0, 0.1, 0.3), "norm"), toxicity._term_arrays])
+def test_tasks_let_go_of_what_others_kept(monkeypatch, task):
+    monkeypatch.setattr(TaskContext, "get", classmethod(lambda _: types.SimpleNamespace(partitionId=lambda: 0)))
+    per_process("tokenizer", lambda: "large")
+    assert not list(task(iter([])))
+    assert per_process("tokenizer", lambda: "made anew") == "made anew"
